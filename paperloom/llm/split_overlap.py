@@ -161,7 +161,7 @@ def overlapping_classes(classes: DataFrame) -> DataFrame:
     )
     words = classes.select("no", "words")
     texts = pairs.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
-    return texts.mapInArrow(_verify, "b long, a long" if texts.columns[0] == "b" else "a long, b long").select("a", "b")
+    return texts.select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long")
 
 
 def split_overlap(passages: DataFrame) -> DataFrame:
