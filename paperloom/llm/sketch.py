@@ -29,9 +29,11 @@ def hashed_counts(df: DataFrame, slots: Callable[[pa.RecordBatch], list[np.ndarr
             if rb.num_rows:
                 seen = True
                 for lane, at in enumerate(slots(rb)):
-                    # Counting per batch costs the size of the batch, not of the array.
-                    u, c = np.unique(at, return_counts=True)
-                    counts[lane][u] += c
+                    if len(at) * 8 > size:
+                        counts[lane] += np.bincount(at, minlength=size)
+                    else:  # costs the size of the batch, not of the array
+                        u, c = np.unique(at, return_counts=True)
+                        counts[lane][u] += c
         if seen:
             for lane in range(lanes):
                 for block in range(0, size, BLOCK):
