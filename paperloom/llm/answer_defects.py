@@ -181,7 +181,8 @@ def is_echo(question: list[str], answer: list[str]) -> bool:
         return False
     pairs = set(zip(answer, answer[1:]))
     inside = len(pairs & set(zip(question, question[1:])))
-    return inside >= 0.9 * len(pairs) and 10 * lcs(question, answer) >= 9 * len(question)
+    breaks = len(answer) // len(question)  # where a repeated question begins again
+    return inside >= 0.9 * len(pairs) - breaks and 10 * lcs(question, answer) >= 9 * len(question)
 
 
 _PARTICLES = frozenset("은 는 이 가 을 를 와 과 의 에 에서 에게 로 으로 보다 도 만 까지 부터 처럼 이다 다 들".split())

@@ -28,7 +28,7 @@ from .common import table
 
 # Letters of other scripts that look like Latin ones.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝүАВЕКМНОРСТУХІЈЅԌҮ", "aeopcyxijshdqwyABEKMHOPCTYXIJSGY", strict=True))
-GREEK = dict(zip("οινρυκϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "oivpukcjABEZHIKMNOPTYXCJ", strict=True))
+GREEK = dict(zip("αοινρυκϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "aoivpukcjABEZHIKMNOPTYXCJ", strict=True))
 ARMENIAN = dict(zip("օոսհցքՕՏՍԼ", "onuhgpOSUL", strict=True))
 #: Letters that look like a space or nothing.
 FILLERS = "ᅟᅠㅤﾠ͏᠎឴឵⠀"
