@@ -123,8 +123,8 @@ def transducer() -> Transducer:
 
 
 @cache
-def _ranges() -> str:
-    """The sources as a character class both regular-expression dialects read."""
+def _ranges() -> list[tuple[int, int]]:
+    """The single characters with a rule, as ranges of code points."""
     cps = sorted(ord(c) for c in mapping())
     parts, begin, last = [], cps[0], cps[0]
     for cp in [*cps[1:], -1]:
@@ -135,21 +135,23 @@ def _ranges() -> str:
     return parts
 
 
-def _class(fmt: str) -> str:
-    return "".join(fmt.format(a) + ("-" + fmt.format(b) if b > a else "") for a, b in _ranges())
-
-
 MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯"
 PARTS = "ᄀ-ᇿꥠ-ꥼힰ-ퟻ"
 
 
+OTHER = SCRIPTS["Cyrillic"] + SCRIPTS["Greek"] + SCRIPTS["Armenian"]
+
+
 @cache
 def _patterns():
-    special = re.compile("[" + "".join(f"\\U{a:08x}" + (f"-\\U{b:08x}" if b > a else "") for a, b in _ranges()) + "]")
+    bmp = "".join(f"\\u{a:04x}-\\u{min(b, 0xFFFF):04x}" for a, b in _ranges() if a <= 0xFFFF)
+    # Within the first plane a class is a bitmap lookup; one range holds all beyond it.
+    first = re.compile(f"[{bmp}{MARKS}{PARTS}]")
+    beyond = re.compile("[\U00010000-\U0010ffff]")
     cluster = re.compile(f"[^{MARKS}{PARTS}][{MARKS}]+|[{PARTS}]+[{MARKS}]*")
-    word = re.compile(r"[^\W_]+")
+    other = re.compile(f"[{OTHER}]+")
     scripts = {name: re.compile(f"[{c}]") for name, c in SCRIPTS.items()}
-    return special, cluster, word, scripts
+    return first, beyond, cluster, other, scripts
 
 
 _DOUBLES = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN}
@@ -169,7 +171,7 @@ def _to_script(script: str) -> dict[str, str]:
 
 
 def _one_script(word: str) -> str:
-    _, _, _, scripts = _patterns()
+    scripts = _patterns()[-1]
     of = {name: p.findall(word) for name, p in scripts.items()}
     of = {name: letters for name, letters in of.items() if letters}
     if len(of) < 2:
@@ -186,28 +188,38 @@ def _one_script(word: str) -> str:
     return "".join(c if c in keep else to.get(c, c) for c in word)
 
 
+def _scripts_apart(text: str) -> str:
+    """The text with each word of several scripts in one of them."""
+    other = _patterns()[3]
+    out, at = [], 0
+    for m in other.finditer(text):
+        lo, hi = m.span()
+        if lo < at:
+            continue
+        alone = not (text[lo - 1 : lo].isalnum() or text[hi : hi + 1].isalnum())
+        if alone and (hi - lo == 1 or "Ѐ" <= min(m.group()) and max(m.group()) < "԰"):
+            continue
+        while lo > at and text[lo - 1].isalnum():
+            lo -= 1
+        while hi < len(text) and text[hi].isalnum():
+            hi += 1
+        out += [text[at:lo], _one_script(text[lo:hi])]
+        at = hi
+    return "".join([*out, text[at:]]) if out else text
+
+
 def consistent(text: str) -> str:
     """The one form of a text; applying it again changes nothing."""
-    special, cluster, word, _ = _patterns()
-    if special.search(text):
+    first, beyond, cluster, other, _ = _patterns()
+    if first.search(text) or beyond.search(text):
         text = transducer().apply(text)
-    if cluster.search(text):
         text = cluster.sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
-    return word.sub(lambda m: m.group() if m.group().isascii() else _one_script(m.group()), text)
-
-
-def _java(ranges: list[tuple[int, int]]) -> str:
-    return "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in ranges)
+    return _scripts_apart(text) if other.search(text) else text
 
 
 def suspicious(col: Column) -> Column:
     """True for every text that :func:`consistent` may change; cheap, in the JVM."""
-    letters = {n: f"\\p{{Is{n}}}" for n in SCRIPTS}
-    mixed = "|".join(f"{a}[\\p{{L}}\\p{{N}}]*(?:{''.join(b for m, b in letters.items() if m != n).join('[]')})" for n, a in letters.items())
-    return col.rlike(r"[^\x00-\x7f]") & col.rlike(f"[{_java(_ranges())}{MARKS}{PARTS}]|{mixed}")
-
-
-_SPEC = "text string"
+    return col.rlike(r"[^\x00-\x7f]|[\x00-\x08\x0e-\x1b\x7f]")
 
 
 def rewrite(df: DataFrame, columns: list[str]) -> DataFrame:
