@@ -183,8 +183,9 @@ def _one_script(word: str) -> str:
         return sum(c not in doubles for c in of[name])
 
     order = sorted(of, key=lambda n: (own(n), len(of[n]), n == "Latin"), reverse=True)
-    to = _to_script(order[0])
-    keep = set(of[order[0]])
+    # the first script in which all the others' letters have a double
+    pick = next((n for n in order if all(c in _to_script(n) for m in of if m != n for c in of[m])), order[0])
+    to, keep = _to_script(pick), set(of[pick])
     return "".join(c if c in keep else to.get(c, c) for c in word)
 
 
