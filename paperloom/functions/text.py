@@ -25,8 +25,7 @@ def key(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines of a text; no empty line after a final line end."""
-    parts = F.split(F.coalesce(c, F.lit("")), LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    return F.split(F.regexp_replace(F.coalesce(c, F.lit("")), f"(?:{LINE_END})\\z", ""), LINE_END)
 
 
 def title_case(c: Column) -> Column:

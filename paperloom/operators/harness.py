@@ -66,14 +66,15 @@ def _reasons(*rules: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in rules]))
 
 
-def _decision(status, confidence, reasons, bucket, text, evidence, version: str) -> Column:
+def _decision(version: str, status: Column, confidence: Column, reasons: Column, bucket: Column, text: Column, evidence: Column) -> Column:
     return F.struct(
         F.lit(version).alias("version"), status.alias("status"), confidence.cast("double").alias("confidence"), reasons.alias("reason_codes"),
         bucket.alias("corrected_label_bucket"), text.alias("corrected_label_text"), evidence.alias("corrected_evidence_span"),
     )
 
 
-def standard() -> Column:
+def standard(df: DataFrame, name: str) -> DataFrame:
+    """All rules are evaluated; reject outweighs edit, edit outweighs accept."""
     b, relations, has_ev = _c("bucket"), _c("bucket") == "relations", _c("evidence") != ""
     entity = b.isin("methods", "concepts")
     short = F.length(_c("label")) < 3
@@ -100,58 +101,67 @@ def standard() -> Column:
         (entity & ~short & ~_c("generic") & _c("exact"), "entity_with_exact_evidence"), ((b == "experiments") & ~_c("numeric") & _c("metric"), "experiment_metric_result"),
         (stance & stance_ok, "claim_relation_with_evidence"), (typed & ends, "typed_relation_with_endpoints"),
     )
-    some = lambda a: F.size(a) > 0
-    none = F.lit("")
-    bucket, exact = F.when(b.isin(BUCKETS), b).otherwise(""), F.when(_c("exact"), _c("evidence")).otherwise("")
-    decide = lambda s, conf, r, *rest: _decision(F.lit(s), conf, r, *(rest or (none, none, none)), VERSION)
-    return (
-        F.when(some(reject), decide("reject", F.when(F.array_contains(reject, "weak_atomic_label"), 0.9).otherwise(0.8), F.concat(reject, edit, accept)))
-        .when(some(edit), decide("edit", F.lit(0.7), F.concat(edit, accept), bucket, F.when(_c("weak"), "").otherwise(_c("label")), exact))
-        .when(some(accept), decide("accept", F.lit(0.8), accept))
-        .otherwise(decide("edit", F.lit(0.55), F.array(F.lit("needs_human_confirmation")), bucket, _c("label"), exact))
-    )
-
-
-def strict() -> Column:
-    b, exact = _c("bucket"), _c("exact")
-    none, entity = F.lit(""), b.isin("methods", "concepts")
-    out: list[tuple[Column, Column]] = []
+    # The reasons are columns of their own, so that the fields below don't repeat the rules.
+    df = df.withColumns({"__reject": reject, "__edit": edit, "__accept": accept})
+    some = lambda c: F.size(_c(c)) > 0
+    df = df.withColumn("__case", F.when(some("reject"), 0).when(some("edit"), 1).when(some("accept"), 2).otherwise(3))
+    pick = lambda *v: F.when(_c("case") == 0, v[0]).when(_c("case") == 1, v[1]).when(_c("case") == 2, v[2]).otherwise(v[3])
+    none, exact = F.lit(""), F.when(_c("exact"), _c("evidence")).otherwise("")
+    bucket = F.when(b.isin(BUCKETS), b).otherwise("")
+    return df.withColumn(
+        name,
+        _decision(
+            VERSION, pick(F.lit("reject"), F.lit("edit"), F.lit("accept"), F.lit("edit")),
+            pick(F.when(F.array_contains(_c("reject"), "weak_atomic_label"), 0.9).otherwise(0.8), F.lit(0.7), F.lit(0.8), F.lit(0.55)),
+            pick(F.concat(_c("reject"), _c("edit"), _c("accept")), F.concat(_c("edit"), _c("accept")), _c("accept"), F.array(F.lit("needs_human_confirmation"))),
+            pick(none, bucket, none, bucket), pick(none, F.when(_c("weak"), "").otherwise(_c("label")), none, _c("label")), pick(none, exact, none, exact),
+        ),
+    )
 
-    def rule(when: Column, status: str, confidence: float, reason: str, *corrected: Column) -> None:
-        out.append((when, _decision(F.lit(status), F.lit(confidence), F.array(F.lit(f"strict_{reason}")), *(corrected or (none, none, none)), STRICT_VERSION)))
 
-    rule(~b.isin(BUCKETS), "reject", 0.95, "invalid_bucket")
-    rule(_c("chunk") == "", "reject", 0.95, "missing_chunk_text")
-    rule(_c("weak") & (b != "relations"), "reject", 0.95, "weak_atomic_label")
-    rel = b == "relations"
+def strict(df: DataFrame, name: str) -> DataFrame:
+    """The first rule that holds decides; its number is found once, its fields looked up."""
+    b, exact = _c("bucket"), _c("exact")
+    entity, rel = b.isin("methods", "concepts"), b == "relations"
     raw = rel & (_c("dataset") == "scirex") & _c("raw")
-    rule(raw & _c("core"), "edit", 0.85, "scirex_raw_relation_requires_endpoint_mapping", F.lit("relations"), _c("label"), F.when(exact, _c("evidence")).otherwise(""))
-    rule(raw, "reject", 0.95, "raw_relation_missing_core_fields")
-    rule(rel & (_c("rel") == ""), "reject", 0.95, "missing_relation_type")
     stance = rel & _c("rel").isin("supports", "contradicts")
-    rule(stance & (_c("label") != "") & exact & ~_c("weak"), "accept", 0.9, "claim_relation_exact_evidence")
-    rule(stance, "reject", 0.9, "claim_relation_without_exact_evidence")
-    rule(rel & (_c("src") != "") & (_c("tgt") != "") & exact, "accept", 0.9, "typed_relation_exact_endpoints_evidence")
-    rule(rel, "reject", 0.9, "relation_without_exact_endpoint_evidence")
-    rule(entity & (F.length(_c("label")) < 3), "reject", 0.95, "entity_too_short")
-    rule(entity & _c("generic") & exact, "edit", 0.8, "generic_entity_requires_schema_policy", b, _c("label"), _c("evidence"))
-    rule(entity & _c("generic"), "reject", 0.9, "generic_entity_without_exact_evidence")
-    rule(entity & exact, "accept", 0.9, "entity_exact_evidence")
-    rule(entity, "reject", 0.9, "entity_without_exact_evidence")
-    rule((b == "experiments") & _c("metric") & exact & ~_c("numeric"), "accept", 0.9, "experiment_metric_exact_evidence")
-    rule(b == "experiments", "reject", 0.9, "experiment_without_metric_exact_evidence")
-    rule((b == "claims") & exact & (_c("words") >= 8) & _c("verb") & ~_c("list"), "accept", 0.88, "sentence_claim_exact_evidence")
-    rule(b == "claims", "reject", 0.88, "claim_not_sentence_or_exact_evidence")
-    rule((b == "limitations") & exact & _c("cue"), "accept", 0.88, "limitation_exact_evidence")
-    rule(b == "limitations", "reject", 0.88, "limitation_without_explicit_signal")
-    made = F.when(*out[0])
-    for when, what in out[1:]:
-        made = made.when(when, what)
-    return made.otherwise(_decision(F.lit("reject"), F.lit(0.85), F.array(F.lit("strict_unhandled_candidate")), none, none, none, STRICT_VERSION))
-
-
-#: Harnesses by name: the key their decision is stored under, and the decision.
-HARNESSES: dict[str, tuple[str, Callable[[], Column]]] = {"standard": ("auto_label", standard), "strict-edit-pass": ("strict_auto_label", strict)}
+    rules = [
+        (~b.isin(BUCKETS), "reject", 0.95, "invalid_bucket"),
+        (_c("chunk") == "", "reject", 0.95, "missing_chunk_text"),
+        (_c("weak") & (b != "relations"), "reject", 0.95, "weak_atomic_label"),
+        (raw & _c("core"), "edit", 0.85, "scirex_raw_relation_requires_endpoint_mapping"),
+        (raw, "reject", 0.95, "raw_relation_missing_core_fields"),
+        (rel & (_c("rel") == ""), "reject", 0.95, "missing_relation_type"),
+        (stance & (_c("label") != "") & exact & ~_c("weak"), "accept", 0.9, "claim_relation_exact_evidence"),
+        (stance, "reject", 0.9, "claim_relation_without_exact_evidence"),
+        (rel & (_c("src") != "") & (_c("tgt") != "") & exact, "accept", 0.9, "typed_relation_exact_endpoints_evidence"),
+        (rel, "reject", 0.9, "relation_without_exact_endpoint_evidence"),
+        (entity & (F.length(_c("label")) < 3), "reject", 0.95, "entity_too_short"),
+        (entity & _c("generic") & exact, "edit", 0.8, "generic_entity_requires_schema_policy"),
+        (entity & _c("generic"), "reject", 0.9, "generic_entity_without_exact_evidence"),
+        (entity & exact, "accept", 0.9, "entity_exact_evidence"),
+        (entity, "reject", 0.9, "entity_without_exact_evidence"),
+        ((b == "experiments") & _c("metric") & exact & ~_c("numeric"), "accept", 0.9, "experiment_metric_exact_evidence"),
+        (b == "experiments", "reject", 0.9, "experiment_without_metric_exact_evidence"),
+        ((b == "claims") & exact & (_c("words") >= 8) & _c("verb") & ~_c("list"), "accept", 0.88, "sentence_claim_exact_evidence"),
+        (b == "claims", "reject", 0.88, "claim_not_sentence_or_exact_evidence"),
+        ((b == "limitations") & exact & _c("cue"), "accept", 0.88, "limitation_exact_evidence"),
+        (b == "limitations", "reject", 0.88, "limitation_without_explicit_signal"),
+        (F.lit(True), "reject", 0.85, "unhandled_candidate"),
+    ]
+    number = F.when(rules[0][0], 1)
+    for i, r in enumerate(rules[1:], 2):
+        number = number.when(r[0], i)
+    df = df.withColumn("__rule", number)
+    field = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in rules]), _c("rule"))
+    edits = _c("rule").isin([i for i, r in enumerate(rules, 1) if r[1] == "edit"])
+    fix = lambda c: F.when(edits, c).otherwise("")
+    evidence = F.when(exact, _c("evidence")).otherwise("")
+    return df.withColumn(name, _decision(STRICT_VERSION, field(1), field(2), F.array(F.concat(F.lit("strict_"), field(3))), fix(b), fix(_c("label")), fix(evidence)))
+
+
+#: Harnesses by name: the key their decision is stored under, and what adds it.
+HARNESSES: dict[str, tuple[str, Callable[[DataFrame, str], DataFrame]]] = {"standard": ("auto_label", standard), "strict-edit-pass": ("strict_auto_label", strict)}
 
 
 def label(candidates: DataFrame, harness: str = "standard", only_auto_status: str | None = None) -> DataFrame:
@@ -162,7 +172,7 @@ def label(candidates: DataFrame, harness: str = "standard", only_auto_status: st
     if only_auto_status:
         candidates = candidates.where(key(F.col("auto_label.status")) == only_auto_status)
     keep = candidates.columns
-    return _with_features(candidates).withColumn(name, decide()).select(*[c for c in keep if c != name], name)
+    return decide(_with_features(candidates), name).select(*[c for c in keep if c != name], name)
 
 
 def notes(decision: Column) -> Column:

@@ -18,12 +18,12 @@ def merge_labels(auto: DataFrame, strict: DataFrame) -> DataFrame:
     (the last one, should an id repeat), and the ``effective`` label of both."""
     last = strict.groupBy("candidate_id").agg(F.last("strict_auto_label").alias("strict_auto_label"))
     both = auto.join(last, "candidate_id", "left")
-    missing = F.struct(
-        F.lit("").alias("version"), F.lit("reject").alias("status"), F.lit(0.0).alias("confidence"), F.array(F.lit("missing_auto_label")).alias("reason_codes"),
-        F.lit("").alias("corrected_label_bucket"), F.lit("").alias("corrected_label_text"), F.lit("").alias("corrected_evidence_span"),
-    ).cast(_DECISION)
-    chosen = F.coalesce(F.when(F.coalesce(F.col("strict_auto_label.status"), F.lit("")) != "", F.col("strict_auto_label")), F.col("auto_label"), missing)
-    return both.withColumn("effective", chosen)
+    use = F.coalesce(F.col("strict_auto_label.status"), F.lit("")) != ""
+    none = {"status": F.lit("reject"), "confidence": F.lit(0.0), "reason_codes": F.array(F.lit("missing_auto_label"))}
+    held = F.col("auto_label").isNotNull()
+    fields = [f.split(":")[0] for f in _DECISION[7:-1].split(",")]
+    pick = lambda f: F.when(use, F.col(f"strict_auto_label.{f}")).when(held, F.col(f"auto_label.{f}")).otherwise(none.get(f, F.lit("")))
+    return both.withColumn("effective", F.struct(*[pick(f).alias(f) for f in fields]))
 
 
 def corrected(field: str) -> Column:
