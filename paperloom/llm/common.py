@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged as materialize
+
 #: Stripes a group is cut into when an exact number of its rows is taken.
 STRIPES = 256
 
@@ -35,28 +32,6 @@ def nonblank(col: Column) -> Column:
     return F.coalesce(F.regexp_replace(col, r"(?U)\s+", ""), F.lit("")) != ""
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="paperloom-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: cuts the lineage, and
-    neither a lost executor nor a second consumer makes it run again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/paperloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def running_total(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
     """Add to each row the sum of ``value`` over all rows before it in ``order``.
 
