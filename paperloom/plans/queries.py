@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm, slug, stable_id
 from ..operators import extract, graph, harness, parse, report, sampling, seeds, sft
 from ..sources import readers, sinks
+from ..sources.staging import shared_folder, staged
 from ..streaming import ingest
 from . import oracle as o
 
@@ -413,7 +414,7 @@ def label_standard(spark, d):
 
 @query(f"with {o.STRICT} select candidate_id, xstatus as status, xconfidence as confidence, case when xstatus = 'edit' then b else '' end as corrected_label_bucket, case when xstatus = 'edit' then lab else '' end as corrected_label_text, case when xstatus = 'edit' and exact then ev else '' end as corrected_evidence_span, xreason as reasons from x where status = 'edit'")
 def label_strict(spark, d):
-    return _flat(harness.label(labelled(spark, d), "strict-edit-pass", "edit"), "strict_auto_label")
+    return _flat(harness.label(staged(labelled(spark, d)), "strict-edit-pass", "edit"), "strict_auto_label")
 
 
 @query(f"with {o.STANDARD}, k(status) as (values ('accept'), ('edit'), ('reject')) select k.status, count(s.candidate_id) as n from k left join s on s.status = k.status group by k.status")
@@ -427,7 +428,7 @@ def review_sheet(spark, d):
 
 
 def merged(spark, d):
-    auto = labelled(spark, d)
+    auto = staged(labelled(spark, d))  # as the files between the two passes
     return sft.merge_labels(auto, harness.label(auto, "strict-edit-pass", "edit").select("candidate_id", "strict_auto_label"))
 
 
@@ -495,9 +496,10 @@ def evidence_hallucination(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder that all executors share, if the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return tempfile.mkdtemp(dir=shared.removeprefix("file://") if shared and (shared.startswith("/") or shared.startswith("file://")) else None)
+    """A new folder within the one that all executors share."""
+    base = Path(shared_folder(spark).removeprefix("file:").replace("//", "/"))
+    base.mkdir(parents=True, exist_ok=True)
+    return tempfile.mkdtemp(dir=base)
 
 
 _PAPER = "# {0}\n\n## Abstract\n- Claim: {0} holds.\n## Methods\n- Method: a graph of {0}\n- Concept: graph\n- Result: 3\n"
