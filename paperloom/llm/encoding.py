@@ -9,8 +9,9 @@
    decode with the right one, up to three times over. A restoration counts when all its
    characters are known to the corpus and it needs fewer bits under the pair model.
 
-A replacement character, a control character of the C1 range, or a first byte whose
-further bytes were lost is garbled even where nothing can be restored.
+In a run, a replacement character, a control character of the C1 range, or a first byte
+whose further bytes were lost is garbled even where nothing can be restored. A task counts
+equal texts once, so that a garbled text copied into many rows stays improbable.
 
 Null and empty texts are never garbled; a document delivered twice counts once; texts
 are taken whole. All counts cover all documents.
@@ -24,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,8 +237,8 @@ def restore(text: str, model: PairModel) -> tuple[str, bool]:
     """The restored text, and whether the text has a garbled sequence."""
     if text.isascii():
         return text, False
-    garbled = bool(_MAYBE.search(text) and _LOST.search(text))
-    for _ in range(3):
+    garbled = False
+    for turn in range(3):
         cp = codes(text)
         if len(cp) < 2:
             break
@@ -252,6 +254,8 @@ def restore(text: str, model: PairModel) -> tuple[str, bool]:
             run = text[lo:hi]
             if not _MADE.search(run):
                 continue
+            if turn == 0 and not garbled and _MAYBE.search(run):
+                garbled = bool(_LOST.search(text, max(0, lo - 1), hi + 1))
             made = model.mended(text[lo - 1 : lo], run, text[hi : hi + 1])
             if made is not None:
                 parts += [text[at:lo], made]
@@ -263,8 +267,16 @@ def restore(text: str, model: PairModel) -> tuple[str, bool]:
 
 
 def corpus_model(texts: DataFrame, column: str = "text") -> PairModel:
+    seen: set[int] = set()
+
     def slots(rb: pa.RecordBatch) -> list[np.ndarray]:
-        cp = codes("\x00".join(t for t in rb.column(0).to_pylist() if t))
+        fresh = []
+        for t in rb.column(0).to_pylist():
+            h = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
+            if h not in seen:
+                seen.add(h)
+                fresh.append(t)
+        cp = codes("\x00".join(fresh))
         return [pair_slots(cp) if len(cp) > 1 else np.zeros(0, np.int64), np.minimum(cp, (1 << CHAR_BITS) - 1).astype(np.int64)]
 
     pairs, chars = hashed_counts(texts.select(column).where(F.col(column) != ""), slots, 2, max(PAIR_BITS, CHAR_BITS))

@@ -118,9 +118,9 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates and share reached (permille) of each split."""
-    got = p4_splits(spark, sf_dir).groupBy("split").agg(F.count("*").alias("candidates"))
-    total = got.agg(F.sum("candidates").alias("total"))
-    return got.crossJoin(F.broadcast(total)).select("split", "candidates", (F.col("candidates") * 1000 / F.col("total")).alias("permille"))
+    made = materialize(p4_splits(spark, sf_dir))
+    total = made.count()
+    return made.groupBy("split").agg(F.count("*").alias("candidates"), (F.count("*") * 1000 / F.lit(total)).alias("permille"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares}

@@ -70,8 +70,8 @@ with c as (select candidate_id, min(source_dataset) as ds, min(lower(trim(target
 n as (select count(*) // 5 as n from c),
 h as (select ds, b, count(*) as available from c where b is not null group by 1, 2),
 q as (select t.source_dataset, t.target_bucket, coalesce(h.available, 0) as available,
-  greatest(cast(t.min_rows as bigint), (cast(t.target_permille as bigint) * n.n + 999) // 1000) as wanted
-  from sampling_targets t cross join n left join h on h.ds = t.source_dataset and h.b = lower(trim(t.target_bucket)))"""
+  greatest(cast(t.min_rows as bigint), (cast(t.target_permille as bigint) * (select n from n) + 999) // 1000) as wanted
+  from sampling_targets t left join h on h.ds = t.source_dataset and h.b = lower(trim(t.target_bucket)))"""
 QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
 SQL = {
     "p6_found": _REPORT + " select source_dataset, target_bucket from q where available < wanted",
