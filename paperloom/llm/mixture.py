@@ -5,7 +5,8 @@ source is repeated whole as often as the budget holds it; the rest is fitted as
 sum over the counts of its documents by exact token length: first in proportion to the
 counts, then from long to short, at last a bounded-knapsack dynamic program over a
 bitset for what is left, which is at most a few documents' length. Documents of each
-length are then drawn by a seeded hash. Only the counts by length reach the driver.
+length are then drawn by a seeded hash. Only the target sources' counts by length reach the
+driver, one row for each different length.
 
 Sources compare without case and outer blanks; null sources and sources without a
 target count towards the total only. Where the cap on repeats keeps a source below
@@ -71,9 +72,10 @@ def plan(docs: DataFrame, targets: list[tuple[str, int, int]]) -> tuple[list[tup
     """docs(doc_id, source, tokens); targets (source, permille, most repeats): per source
     (source, budget, size, whole copies, reached, short), and takes by (source, length)."""
     hist: dict[str | None, dict[int, int]] = {}
-    for r in docs.groupBy("source", "tokens").agg(F.count("*").alias("n")).collect():
+    wanted = docs.where(F.col("source").isin([t[0] for t in targets]))
+    for r in wanted.groupBy("source", "tokens").agg(F.count("*").alias("n")).collect():
         hist.setdefault(r["source"], {})[r["tokens"]] = r["n"]
-    total = sum(n * c for h in hist.values() for n, c in h.items())
+    total = docs.agg(F.sum("tokens")).first()[0] or 0
     rows, takes = [], {}
     for source, permille, most in targets:
         h = hist.get(source, {})
