@@ -55,17 +55,41 @@ def evidence_spans(a: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(every, norm), lambda x: x != ""))
 
 
+def _unicode_tokens(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _exact(ev: DataFrame, ch: DataFrame) -> DataFrame:
+    """(ev_id, chunk_id) of the first chunk of the paper that holds the needle.
+
+    A token inside the needle, neither its first nor its last, is a whole token of any
+    text that holds it. So a needle meets only chunks with its rarest inner token, and
+    a paper with a third of all rows is spread over its tokens. Needles of two
+    tokens or fewer have no inner one and meet all chunks of their paper.
+    """
+    ev = ev.withColumn("ts", _unicode_tokens(F.col("needle")))
+    index = ch.select("paper_id", "chunk_id", F.explode(F.array_distinct(_unicode_tokens(F.col("hay")))).alias("token"))
+    inner = ev.where(F.size("ts") > 2).select("ev_id", "paper_id", F.explode(F.array_distinct(F.slice("ts", 2, F.greatest(F.size("ts") - 2, F.lit(0))))).alias("token"))
+    spread = index.groupBy("paper_id", "token").agg(F.count("*").alias("n"))
+    rarest = inner.join(spread, ["paper_id", "token"], "left").groupBy("ev_id", "paper_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    met = rarest.join(index, ["paper_id", "token"]).select("ev_id", "chunk_id").join(ev.select("ev_id", "needle"), "ev_id").join(ch.select("chunk_id", "chunk_ord", "hay"), "chunk_id")
+    short = ev.where(F.size("ts") <= 2).select("ev_id", "needle", "paper_id").join(ch, "paper_id")
+    cols = ["ev_id", "chunk_id", "chunk_ord", "needle", "hay"]
+    hits = met.select(cols).unionByName(short.select(cols)).where(F.col("hay").contains(F.col("needle")))
+    return hits.groupBy("ev_id").agg(F.min_by("chunk_id", "chunk_ord").alias("chunk_id"))
+
+
 def locate(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
-    """evidence(ev_id, paper_id, evidence_span), chunks(paper_id, chunk_id, chunk_ord,
+    """evidence(ev_id, paper_id, evidence_span), chunks(paper_id, chunk_id unique, chunk_ord,
     chunk_text): the first chunk that holds the span, else of a span with five tokens or
     more the first with the greatest token overlap, if at least 0.65.
 
-    Two phases: only spans without an exact hit are tokenised, and they meet chunks on
-    shared tokens, so chunks without any never form a pair.
+    Two phases: only spans without an exact hit are tokenised for overlap, and they meet
+    chunks on shared tokens, so chunks without any never form a pair.
     """
     ev = evidence.select("ev_id", "paper_id", F.lower(norm(F.col("evidence_span"))).alias("needle")).where("needle <> ''")
     ch = chunks.select("paper_id", "chunk_id", "chunk_ord", F.lower("chunk_text").alias("hay"))
-    exact = ev.join(ch, "paper_id").where(F.col("hay").contains(F.col("needle"))).groupBy("ev_id").agg(F.min_by("chunk_id", "chunk_ord").alias("chunk_id")).withColumn("match", F.lit("exact")).withColumn("overlap", F.lit(1.0))
+    exact = _exact(ev, ch).withColumn("match", F.lit("exact")).withColumn("overlap", F.lit(1.0))
     rest = ev.join(exact.select("ev_id"), "ev_id", "left_anti").withColumn("t", tokens(F.col("needle"))).withColumn("n", F.size("t")).where(F.col("n") >= LEAST_TOKENS)
     probe = rest.select("ev_id", "paper_id", "n", F.explode("t").alias("token"))
     index = ch.select("paper_id", "chunk_id", "chunk_ord", F.explode(tokens(F.col("hay"))).alias("token"))
