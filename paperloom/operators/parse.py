@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, lines, strip, title_case
+from ..functions.text import BLANK, ENDS, LINE_END, SPACE, lines, strip, title_case
 
 # Headings of unmarked documents, in two languages.
 HEADINGS = [
@@ -27,7 +27,7 @@ def stem_title(stem: Column) -> Column:
 
 
 def first_title(text: Column) -> Column:
-    first = F.get(F.filter(F.transform(lines(text), strip), lambda x: x != ""), 0)
+    first = strip(F.regexp_extract(F.coalesce(text, F.lit("")), f"^[{SPACE}]*([^{ENDS}]+)", 1))
     return F.coalesce(F.when(first.startswith("#"), without_hashes(first)).otherwise(first), F.lit(""))
 
 
@@ -42,22 +42,25 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     section; sections without text are dropped; a document left without any is one
     section of its own.
 
-    Lines are grouped inside each row with array functions: a document is one row from
-    start to end, so nothing is shuffled however many documents there are.
+    A text is cut before its heading lines by one regular expression and stays one row
+    until the sections are exploded, so nothing is shuffled however many there are.
     """
-    marked = F.transform(lines(F.col("text")), lambda x: F.when(strip(x).startswith("#"), F.concat(F.lit("\x00"), without_hashes(strip(x)), F.lit("\x01"))).otherwise(F.concat(x, F.lit("\n"))))
-    parts = F.split(F.array_join(marked, ""), "\x00")
-    rows = docs.select("doc_idx", "paper_id", "text", F.posexplode(parts).alias("n", "part"))
-    cut = F.instr("part", "\x01")
-    title = F.when(F.col("n") == 0, "Document").otherwise(F.expr("substring(part, 1, instr(part, '\x01') - 1)"))
-    body = F.when(F.col("n") == 0, F.col("part")).otherwise(F.expr("substring(part, instr(part, '\x01') + 1)"))
-    del cut
-    found = rows.select("doc_idx", "paper_id", "n", F.when(title == "", "Document").otherwise(title).alias("title"), strip(body).alias("body"))
-    # the first part stands for the document if no part has text
-    none_left = F.size(F.filter(parts, lambda p: strip(F.regexp_replace(p, "^[^\x01]*\x01", "")) != "")) == 0
-    whole = docs.where(none_left).select("doc_idx", "paper_id", F.lit(0).alias("n"), F.lit("Document").alias("title"), strip(F.coalesce("text", F.lit(""))).alias("body"))
-    out = found.where("body <> ''").unionByName(whole)
-    return out.select("doc_idx", "paper_id", F.col("n").alias("section_idx"), "title", F.col("body").alias("text"), F.lit(None).cast("int").alias("page"))
+    parts = F.split(F.coalesce("text", F.lit("")), f"(?:^|(?<=[{ENDS}]))(?=[{BLANK}]*#)")
+    heads = lambda p: p.rlike(f"^[{BLANK}]*#")
+    line = lambda p: F.regexp_extract(p, f"^[^{ENDS}]*", 0)
+    rest = lambda p: F.regexp_replace(p, f"^[^{ENDS}]*(?:{LINE_END})?", "")
+    rows = docs.select("doc_idx", "paper_id", "text", parts.alias("parts"))
+
+    def section(p: Column, i: Column) -> Column:
+        title = F.when(heads(p), F.coalesce(F.nullif(without_hashes(strip(line(p))), F.lit("")), F.lit("Document"))).otherwise("Document")
+        body = F.regexp_replace(strip(F.when(heads(p), rest(p)).otherwise(p)), LINE_END, "\n")
+        n = i + F.when(heads(F.get("parts", 0)), 1).otherwise(0)
+        return F.struct(n.alias("section_idx"), title.alias("title"), body.alias("text"))
+
+    rows = rows.withColumn("secs", F.filter(F.transform("parts", section), lambda x: x["text"] != ""))
+    whole = F.struct(F.lit(0).alias("section_idx"), F.lit("Document").alias("title"), strip(F.coalesce("text", F.lit(""))).alias("text"))
+    out = rows.select("doc_idx", "paper_id", F.explode(F.when(F.size("secs") > 0, F.col("secs")).otherwise(F.array(whole))).alias("s"))
+    return out.select("doc_idx", "paper_id", "s.section_idx", "s.title", "s.text", F.lit(None).cast("int").alias("page"))
 
 
 def clean_heading(c: Column) -> Column:

@@ -43,7 +43,8 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    return extract.items(sections(spark, d))
+    """Sections are parsed once, though the items read them more than once."""
+    return extract.items(staged(sections(spark, d)))
 
 
 def named_concepts(it: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def marker_items(spark, d):
 
 @query(f"with {o.ITEMS} select cast(doc_id as varchar) as paper_id, item_type, item_id, text, section, confidence from it where confidence < 1.0")
 def fallback_items(spark, d):
-    s = sections(spark, d)
+    s = staged(sections(spark, d))
     return extract.fallback_items(s, extract.marked_items(s)).select("paper_id", "item_type", "item_id", "text", "section", "confidence")
 
 
