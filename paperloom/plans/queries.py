@@ -392,6 +392,19 @@ def stratified_sample(spark, d):
     return sampling.sample(candidates(spark, d))[0].where("pick <> 'global'").select("candidate_id", "pick")
 
 
+_BACKFILL = f"""{_SAMPLE}, lf as (select {sum(n for *_, n in _FLAT)} - (select count(*) from s1) - (select count(*) from s2) as quota),
+p3 as (select *, sha256('15|' || candidate_id) as h3 from p where candidate_id not in (select candidate_id from s1) and candidate_id not in (select candidate_id from s2)),
+k3 as (select *, row_number() over (partition by paper_id order by hc desc, h3, candidate_id) as k from p3),
+g3 as (select *, row_number() over (order by k > 1, hc desc, h3, paper_id, candidate_id) as g from k3),
+s3 as (select candidate_id from g3, lf where g <= lf.quota)"""
+
+
+@query(f"with {_BACKFILL} select candidate_id, 'target' as pick from s1 union all select candidate_id, 'dataset' from s2 union all select candidate_id, 'global' from s3")
+def sample_backfill(spark, d):
+    """All three stages; stratified_sample keeps to the two of its SQL."""
+    return sampling.sample(candidates(spark, d))[0].select("candidate_id", "pick")
+
+
 @query(f"with {_SAMPLE} select source_dataset, target_bucket, cast(deficit as bigint) as deficit from df where deficit > 0")
 def sample_deficits(spark, d):
     return sampling.sample(candidates(spark, d), backfill=False)[1]

@@ -126,6 +126,30 @@ def test_diverse_sample_is_the_greedy_one(spark):
     assert full.count() == 8
 
 
+def test_exhausted_source_is_made_up_by_all(spark, tmp_path):
+    """The registered sample over tables with too few rows of every source but one, against a plain one."""
+    import hashlib
+
+    from paperloom.plans.queries import QUERIES
+
+    rng = random.Random(5)
+    rows = [(f"c{i}", "scier" if i < 400 else "scifact", rng.choice(["methods", "concepts", "supports"]), f"p{rng.randrange(30)}", ["h"] * rng.randrange(3)) for i in range(410)]
+    df = spark.createDataFrame(rows, "candidate_id string, source_dataset string, target_bucket string, paper_id string, hard_cases array<string>")
+    df.withColumn("ingested_at", F.current_timestamp()).write.parquet(f"{tmp_path}/candidates.parquet")
+    order = lambda seed, pool: [(r[0], r[3]) for r in sorted(pool, key=lambda r: (-len(r[4]), hashlib.sha256(f"{seed}|{r[0]}".encode()).hexdigest(), r[3], r[0]))]
+    want, total = {}, sum(n for per in sampling.TARGETS.values() for n in per.values())
+    for ds, per in sampling.TARGETS.items():
+        for b, n in per.items():
+            want |= dict.fromkeys(greedy(order(13, [r for r in rows if r[1:3] == (ds, b)]), n), "target")
+    first = set(want)
+    for ds, per in sampling.TARGETS.items():
+        n = sum(per.values()) - sum(r[0] in first and r[1] == ds for r in rows)
+        want |= dict.fromkeys(greedy(order(14, [r for r in rows if r[1] == ds and r[0] not in first]), n), "dataset")
+    want |= dict.fromkeys(greedy(order(15, [r for r in rows if r[0] not in want]), total - len(want)), "global")
+    got = [(r.candidate_id, r.pick) for r in QUERIES["sample_backfill"](spark, str(tmp_path)).collect()]
+    assert len(got) == total and dict(got) == want and set(want.values()) == {"target", "dataset", "global"}
+
+
 def test_targets():
     assert sampling.parse_target("a.b=3", {"a": {"c": 1}}) == {"a": {"c": 1, "b": 3}}
     for bad in ("a=3", "a.b", "a.b=-1"):
