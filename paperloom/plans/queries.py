@@ -281,6 +281,37 @@ def used_docs(spark, d):
     return seeds.claim_corpus(claims, corpus)[0].select("chunk_id")
 
 
+def _all_claims(spark, d):
+    """Claims over documents as abstracts: each claim cites every sentence of all documents
+    of its paper, in rationales of two neighbours; places out of range are among them."""
+    c = candidates(spark, d).where("source_dataset = 'scifact'")
+    dd = t(spark, d, "documents").where("source_dataset = 'scifact'").select("doc_id", F.col("paper_id").alias("title"), F.split(F.coalesce("text", F.lit("")), "\n").alias("abstract"), F.lit(False).alias("structured"))
+    per = dd.where("title is not null").groupBy(F.col("title").alias("paper_id")).agg(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("doc"), F.size("abstract").alias("n"))).alias("ds"))
+    label = F.when(F.col("relation_type") == "supports", "SUPPORT").when(F.col("relation_type") == "contradicts", "CONTRADICT").otherwise("")
+    pairs = lambda n: F.transform(F.sequence(F.lit(0), n - 1, F.lit(2)), lambda i: F.struct(label.alias("label"), F.array(i, i + 1, F.lit(-1), F.lit(100000)).alias("sentences")))
+    evidence = F.map_from_entries(F.transform("ds", lambda x: F.struct(x["doc"], pairs(x["n"]))))
+    claims = c.join(per, "paper_id").select(F.col("relation_type").alias("split"), F.xxhash64("candidate_id").alias("id"), F.col("label_text").alias("claim"), evidence.alias("evidence"), "candidate_id")
+    return claims, dd
+
+
+_CA = f"""{o.ONE}, da as (select doc_id as doc, paper_id, string_split(coalesce(text, ''), chr(10)) as ab from documents where source_dataset = 'scifact' and paper_id is not null),
+ca as (select candidate_id, relation_type, {o.norm('label_text')} as claim, doc, ab from c join da on da.paper_id = c.paper_id where c.source_dataset = 'scifact' and {o.norm('label_text')} <> ''),
+sa as (select ca.*, concat_ws(' ', nullif({o.norm('ab[2 * r + 1]')}, ''), nullif({o.norm('ab[2 * r + 2]')}, '')) as span from ca, unnest(range((len(ab) + 1) // 2)) as u(r))"""
+
+
+@query(f"with {_CA} select claim, cast(doc as varchar) as paper_id, case relation_type when 'supports' then 'supports' when 'contradicts' then 'contradicts' else 'related_to' end as relation_type, span as evidence_span from sa where span <> ''")
+def claim_evidence_all(spark, d):
+    """claim_evidence_join over all documents of a paper and all their sentences."""
+    claims, corpus = _all_claims(spark, d)
+    return seeds.claim_corpus(claims, corpus)[1].select("claim", "paper_id", "relation_type", "evidence_span")
+
+
+@query(f"with {_CA} select distinct 'scifact:' || cast(doc as varchar) || ':abstract' as chunk_id from ca")
+def used_docs_all(spark, d):
+    claims, corpus = _all_claims(spark, d)
+    return seeds.claim_corpus(claims, corpus)[0].select("chunk_id")
+
+
 def _sentences(spark, d):
     """Each entity candidate's sentence with its label and first words as mentions."""
     c = candidates(spark, d).where("source_dataset = 'scier' and chunk_text is not null and label_text is not null")

@@ -188,6 +188,19 @@ def test_corpora(spark):
     assert {r.text for r in ents.collect()} == {"a b", "b c"} and len(made.first().labels.relations) == 2
 
 
+def test_claims_reach_every_sentence_of_their_paper(spark, tmp_path):
+    from paperloom.plans.queries import QUERIES
+
+    texts = {1: "a\nb\nc\nd\ne\nf\ng", 2: "h", 3: "\n \ni\nj", 4: "other"}
+    spark.createDataFrame([(i, "scifact", "q" if i == 4 else "p", x) for i, x in texts.items()], "doc_id long, source_dataset string, paper_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = spark.createDataFrame([("c1", "scifact", "p", "supports", "Oak"), ("c2", "scifact", "p", None, "Elm"), ("c3", "scifact", "none", "supports", "Ash"), ("c4", "scifact", "q", "supports", " ")], "candidate_id string, source_dataset string, paper_id string, relation_type string, label_text string")
+    c.withColumn("ingested_at", F.current_timestamp()).write.parquet(f"{tmp_path}/candidates.parquet")
+    spans = [("1", "a b"), ("1", "c d"), ("1", "e f"), ("1", "g"), ("2", "h"), ("3", "i j")]
+    got = sorted(tuple(r) for r in QUERIES["claim_evidence_all"](spark, str(tmp_path)).collect())
+    assert got == sorted((claim, doc, kind, x) for claim, kind in (("Oak", "supports"), ("Elm", "related_to")) for doc, x in spans)
+    assert {r.chunk_id for r in QUERIES["used_docs_all"](spark, str(tmp_path)).collect()} == {f"scifact:{i}:abstract" for i in (1, 2, 3)}
+
+
 def test_locate(spark):
     ev = spark.createDataFrame([(1, "p", "Red Oak"), (2, "p", "one two three four five six"), (3, "p", "one two"), (4, "p", "")], "ev_id int, paper_id string, evidence_span string")
     ch = spark.createDataFrame([("p", "a", 0, "a red oak"), ("p", "b", 1, "red oak one two three four x"), ("p", "c", 2, "one two three four y")], "paper_id string, chunk_id string, chunk_ord int, chunk_text string")
