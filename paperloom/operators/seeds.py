@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, first_filled, norm, slug, tokens
+from ..sources.staging import staged
 from .sampling import BUCKETS, LABEL
 
 # Cues of a question's label type, in order, and the least word overlap.
@@ -79,17 +80,19 @@ def _exact(ev: DataFrame, ch: DataFrame) -> DataFrame:
     return hits.groupBy("ev_id").agg(F.min_by("chunk_id", "chunk_ord").alias("chunk_id"))
 
 
-def locate(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+def locate(evidence: DataFrame, chunks: DataFrame, stage: bool = False) -> DataFrame:
     """evidence(ev_id, paper_id, evidence_span), chunks(paper_id, chunk_id unique, chunk_ord,
     chunk_text): the first chunk that holds the span, else of a span with five tokens or
     more the first with the greatest token overlap, if at least 0.65.
 
     Two phases: only spans without an exact hit are tokenised for overlap, and they meet
-    chunks on shared tokens, so chunks without any never form a pair.
+    chunks on shared tokens, so chunks without any never form a pair. ``stage`` writes the
+    exact hits, which are read twice.
     """
     ev = evidence.select("ev_id", "paper_id", F.lower(norm(F.col("evidence_span"))).alias("needle")).where("needle <> ''")
     ch = chunks.select("paper_id", "chunk_id", "chunk_ord", F.lower("chunk_text").alias("hay"))
-    exact = _exact(ev, ch).withColumn("match", F.lit("exact")).withColumn("overlap", F.lit(1.0))
+    exact = staged(_exact(ev, ch)) if stage else _exact(ev, ch)
+    exact = exact.withColumn("match", F.lit("exact")).withColumn("overlap", F.lit(1.0))
     rest = ev.join(exact.select("ev_id"), "ev_id", "left_anti").withColumn("t", tokens(F.col("needle"))).withColumn("n", F.size("t")).where(F.col("n") >= LEAST_TOKENS)
     probe = rest.select("ev_id", "paper_id", "n", F.explode("t").alias("token"))
     index = ch.select("paper_id", "chunk_id", "chunk_ord", F.explode(tokens(F.col("hay"))).alias("token"))
@@ -147,12 +150,12 @@ def question_corpus(papers: DataFrame, most_papers: int | None = None) -> tuple[
     """papers(split, pos, paper_id, title, full_text, qas): chunks, evidence, seeds."""
     if most_papers:
         papers = papers.where(F.col("pos") < most_papers)
-    chunks = section_chunks(papers)
+    chunks = staged(section_chunks(papers))  # JSON is parsed once, though both are read several times
     qs = questions(papers).withColumn("answer_text", answer_text(F.col("answer"))).where("answer_text <> ''")
     spans = qs.select("split", "paper_id", "qa_index", "question_id", "question", "answer_index", "answer_text", F.posexplode(evidence_spans(F.col("answer"))).alias("e", "evidence_span"))
     rid = F.concat_ws("-", F.lit("qasper"), "split", slug(F.col("paper_id")), F.col("qa_index").cast("string"), F.col("answer_index").cast("string"), (F.col("e") + 1).cast("string"))
-    spans = spans.withColumn("id", rid).withColumn("label_hint", question_label_type(F.col("question")))
-    hit = locate(spans.select(F.col("id").alias("ev_id"), "paper_id", "evidence_span"), chunks).select(F.col("ev_id").alias("id"), "chunk_id")
+    spans = staged(spans.withColumn("id", rid).withColumn("label_hint", question_label_type(F.col("question"))))
+    hit = locate(spans.select(F.col("id").alias("ev_id"), "paper_id", "evidence_span"), chunks, stage=True).select(F.col("ev_id").alias("id"), "chunk_id")
     evidence = spans.join(hit, "id").join(chunks.select("chunk_id", "title", "section", "chunk_text"), "chunk_id")
     evidence = evidence.select("id", "split", "paper_id", "title", "question_id", "question", "answer_text", "label_hint", "section", "chunk_id", "evidence_span", "chunk_text")
     one = _label(id=F.concat_ws("-", F.expr("substring(label_hint, 1, length(label_hint) - 1)"), "id"), text=F.col("answer_text"), evidence_span=F.col("evidence_span"), confidence=F.lit(0.6), source=F.lit("qa_evidence_heuristic"))

@@ -52,9 +52,10 @@ def named_concepts(it: DataFrame) -> DataFrame:
     return it.withColumn("text", F.when(F.col("item_type") == "Concept", F.coalesce(F.get(F.split("text", " "), 1), F.lit(""))).otherwise(F.col("text")))
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates, each delivered once: the earliest delivery of an id."""
+def candidates(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """Candidates, each delivered once: the earliest delivery of an id; of all columns or those named."""
     c = t(spark, d, "candidates").where("candidate_id is not null")
+    c = c.select("candidate_id", "ingested_at", *names) if names else c
     return c.groupBy("candidate_id").agg(F.min_by(F.struct(*[x for x in c.columns if x != "candidate_id"]), "ingested_at").alias("r")).select("candidate_id", "r.*")
 
 
@@ -542,29 +543,44 @@ def evidence_hallucination(spark, d):
 
 def _folder(spark: SparkSession) -> str:
     """A new folder within the one that all executors share."""
-    base = Path(shared_folder(spark).removeprefix("file:").replace("//", "/"))
+    base = Path("/" + shared_folder(spark).removeprefix("file:").lstrip("/"))
     base.mkdir(parents=True, exist_ok=True)
     return tempfile.mkdtemp(dir=base)
 
 
-_PAPER = "# {0}\n\n## Abstract\n- Claim: {0} holds.\n## Methods\n- Method: a graph of {0}\n- Concept: graph\n- Result: 3\n"
+def _write_files(rows: DataFrame, folder: str | Path) -> None:
+    """rows(name, text): a UTF-8 file each, written where the rows are."""
+    folder = str(folder)
+
+    def put(batches):
+        for pdf in batches:
+            for name, text in zip(pdf["name"], pdf["text"]):
+                Path(folder, name).write_bytes((text or "").encode())
+            yield pdf[["name"]]
+
+    rows.select("name", "text").mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
+
+
+def _document_files(spark: SparkSession, d: str, folder: str | Path) -> None:
+    """Each document as a file named by its id, with suffixes of all kinds that are read."""
+    suffix = F.element_at(F.array(*map(F.lit, (".md", ".TXT", ".txt"))), (F.pmod("doc_idx", F.lit(3)) + 1).cast("int"))
+    _write_files(docs(spark, d).select(F.concat("paper_id", suffix).alias("name"), "text"), folder)
 
 
 @query()
 def directory_ingest(spark, d):
     folder = Path(_folder(spark))
-    for n, name in enumerate(["b-second.md", "a_first.TXT", "skip.csv"]):
-        (folder / name).write_text(_PAPER.format(f"paper {n}"), encoding="utf-8")
+    _document_files(spark, d, folder)
+    (folder / "skip.csv").write_text("# no paper\n- Claim: none\n", encoding="utf-8")
     dd = readers.text_documents(spark, str(folder))
-    return extract.items(parse.markdown_sections(dd)).select("paper_id", "item_id", "text")
+    return extract.items(staged(parse.markdown_sections(dd))).select("paper_id", "item_id", "text")
 
 
 @query()
 def stream_items(spark, d):
     folder = Path(_folder(spark))
     (folder / "in").mkdir()
-    for n in range(3):
-        (folder / "in" / f"p{n}.md").write_text(_PAPER.format(f"paper {n}"), encoding="utf-8")
+    _document_files(spark, d, folder / "in")
     ingest.write_items(ingest.paper_stream(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("paper_id", "item_id", "text")
 
@@ -583,12 +599,30 @@ def csv_roundtrip(spark, d):
     return spark.read.csv(f"{folder}/m", header=True, escape='"', multiLine=True, lineSep="\r\n")
 
 
+def _qa_papers(spark, d):
+    """(paper_id, title, full_text, qas): sections in order, their paragraphs, and the questions of
+    the candidates, each with all its answers."""
+    own = "source_dataset = 'qasper' and paper_id is not null"
+    s = t(spark, d, "sections").where(own).select("section_id", "paper_id", "section_idx", "title", "text").distinct()
+    part = F.struct(F.coalesce("title", F.lit("")).alias("section_name"), F.split(F.coalesce("text", F.lit("")), "\n\n").alias("paragraphs"))
+    texts = s.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section_idx", "section_id", part.alias("x")))), lambda x: x["x"]).alias("full_text"))
+    c = candidates(spark, d, "source_dataset", "paper_id", "question", "label_text", "evidence_span").where(own)
+    low = F.lower(norm(F.col("label_text")))
+    yes = F.when(low == "yes", True).when(low == "no", False)
+    several = F.col("label_text").contains(" | ")
+    free = F.when(yes.isNull() & (low != "unanswerable") & ~F.coalesce(several, F.lit(False)), F.col("label_text"))
+    a = F.struct(F.when(several, F.split("label_text", r" \| ")).alias("extractive_spans"), free.alias("free_form_answer"), yes.alias("yes_no"), (low == "unanswerable").alias("unanswerable"), F.array("evidence_span").alias("evidence"))
+    q = c.groupBy("paper_id", "question").agg(F.min("candidate_id").alias("question_id"), F.array_sort(F.collect_list(F.struct("candidate_id", F.struct(a.alias("answer")).alias("x")))).alias("xs"))
+    one = F.struct("question", "question_id", F.transform("xs", lambda x: x["x"]).alias("answers"))
+    qas = q.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("question_id", one.alias("x")))), lambda x: x["x"]).alias("qas"))
+    p = t(spark, d, "papers").where(own).groupBy("paper_id").agg(F.min("title").alias("title"))
+    return p.join(texts, "paper_id", "left").join(qas, "paper_id", "left")
+
+
 @query()
 def qa_corpus_records(spark, d):
-    body = '{"p1":{"title":"T","full_text":[{"section_name":"Intro","paragraphs":["The graph method works well on five held out sets.",""]}],"qas":[{"question":"How does it work?","question_id":"q1","answers":[{"answer":{"extractive_spans":["graph method"],"evidence":["The graph method works well"]}}]}]},"p0":{"title":"U","full_text":{"section_name":["A"],"paragraphs":[["No limits."]]},"qas":{"question":["What fails?"],"question_id":["z"],"answers":[[{"answer":{"yes_no":false,"evidence":["No limits."]}}]]}}}'
-    path = Path(_folder(spark)) / "train.json"
-    path.write_text(body)
-    papers = readers.by_split({"train": readers.json_map(spark, str(path), seeds.QA_PAPER).select("pos", F.col("key").alias("paper_id"), "value.*")})
+    folder = _folder(spark)
+    body = F.to_json(F.create_map("paper_id", F.struct("title", "full_text", "qas")))
+    _write_files(_qa_papers(spark, d).select(F.concat(F.sha1("paper_id"), F.lit(".json")).alias("name"), body.alias("text")), folder)
+    papers = readers.by_split({"train": readers.json_map(spark, f"{folder}/", seeds.QA_PAPER).select("pos", F.col("key").alias("paper_id"), "value.*")})
     return seeds.question_corpus(papers)[1].select("id", "paper_id", "label_hint", "answer_text", "evidence_span", "chunk_id")
-
-

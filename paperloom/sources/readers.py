@@ -15,12 +15,17 @@ def _stem(path):
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def fewer_tasks(files: DataFrame) -> DataFrame:
+    """Small files read by as many tasks as a shuffle has, not by one for every few files."""
+    return files.coalesce(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def paper_files(spark: SparkSession, folder: str, suffixes: list[str] | None = None) -> DataFrame:
     """(doc_idx, paper_id, suffix, path, content) of the folder's own files with a supported
     suffix in any case, numbered by path. Decoding is left to the caller."""
     suffixes = suffixes or [*TEXT, *PDF]
     files = spark.read.format("binaryFile").load(folder.rstrip("/") + "/*").select("path", "content")
-    files = files.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))).where(F.col("suffix").isin(suffixes))
+    files = fewer_tasks(files).withColumn("suffix", F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))).where(F.col("suffix").isin(suffixes))
     # Only paths are gathered for numbering; contents stay where they are.
     from pyspark.sql import Window
 
@@ -85,7 +90,7 @@ def last_per_key(rows: DataFrame, key: str) -> DataFrame:
 
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """(pos, key, value) of files that hold one object, in the file's order."""
-    raw = spark.read.text(path, wholetext=True)
+    raw = fewer_tasks(spark.read.text(path, wholetext=True))
     return raw.select(F.posexplode(F.map_entries(F.from_json("value", f"map<string,{value}>"))).alias("pos", "e")).select("pos", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
 
 

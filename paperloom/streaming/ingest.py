@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.extract import content_lines, marker
 from ..operators.extract import items as all_items
 from ..operators.parse import markdown_sections
-from ..sources.readers import _stem
+from ..sources.readers import _stem, fewer_tasks
 
 
 def paper_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,6 +29,10 @@ def write_items(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Items of each micro-batch of whole papers, written exactly once by batch number."""
 
     def save(batch: DataFrame, n: int) -> None:
-        all_items(markdown_sections(batch)).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        sections = markdown_sections(fewer_tasks(batch)).persist()  # items read them more than once
+        try:
+            all_items(sections).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        finally:
+            sections.unpersist()
 
     return docs.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -207,6 +207,45 @@ def test_locate(spark):
     assert {(r.ev_id, r.chunk_id, r.match) for r in seeds.locate(ev, ch).collect()} == {(1, "a", "exact"), (2, "b", "overlap"), (3, "b", "exact")}
 
 
+def test_every_document_is_ingested(spark, tmp_path):
+    """The folder reader and the stream give the items of the table itself."""
+    from paperloom.plans.queries import QUERIES
+
+    texts = [PAPER, "nothing here", "# 나무\r\n## Methods\nCount rings. Then stop.\x85- Concept: 나이테", "", None, *(PAPER.replace("oak", f"oak {n}") for n in range(9))]
+    spark.createDataFrame([(i * 7, x) for i, x in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.createDataFrame([(i * 7, str(i * 7), x) for i, x in enumerate(texts)], "doc_idx long, paper_id string, text string")
+    want = sorted((r.paper_id, r.item_id, r.text) for r in extract.items(parse.markdown_sections(table)).collect())
+    assert {w[0] for w in want} >= {"0", "14", "91"}
+    for name in ("directory_ingest", "stream_items"):
+        assert sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
+def test_questions_of_all_papers(spark, tmp_path):
+    from paperloom.plans.queries import QUERIES
+
+    at = lambda df, name: df.withColumn("ingested_at", F.current_timestamp()).write.parquet(f"{tmp_path}/{name}.parquet")
+    at(spark.createDataFrame([("qasper", "1.5", "T"), ("qasper", "1.5", "T"), ("qasper", "2", None), ("scier", "2", "other")], "source_dataset string, paper_id string, title string"), "papers")
+    sec = [("a", "1.5", 2, "Intro", "Oak grows.\n\nThe graph method works \"well\"."), ("b", "1.5", 1, "", "First\n\n\n\nThird part"), ("b", "1.5", 1, "", "First\n\n\n\nThird part"), ("c", "2", 1, "A", "No limits."), ("d", "2", 2, "B", None)]
+    at(spark.createDataFrame([("qasper", *x) for x in sec], "source_dataset string, section_id string, paper_id string, section_idx int, title string, text string"), "sections")
+    c = [
+        ("c1", "1.5", "How does it work?", "graph | oak", "graph  METHOD"), ("c2", "1.5", "How does it work?", "Well", "third part"), ("c3", "1.5", "Is it so?", "yes", "Oak"), ("c4", "2", "What fails?", "No", "no limits."),
+        ("c5", "2", None, "unanswerable", "limits"), ("c6", "2", "Q?", None, "limits"), ("c7", "2", "Q?", "x", None), ("c8", "1.5", "Q?", "x", "no such place"), ("c9", "9", "Q?", "x", "limits"),
+    ]
+    at(spark.createDataFrame([("qasper", *x) for x in c], "source_dataset string, candidate_id string, paper_id string, question string, label_text string, evidence_span string"), "candidates")
+    assert sorted(tuple(r) for r in QUERIES["qa_corpus_records"](spark, str(tmp_path)).collect()) == [
+        ("qasper-train-1-5-1-1-1", "1.5", "methods", "graph | oak", "graph METHOD", "1.5:s2:p2"), ("qasper-train-1-5-1-1-2", "1.5", "methods", "graph | oak", "graph", "1.5:s2:p2"),
+        ("qasper-train-1-5-1-1-3", "1.5", "methods", "graph | oak", "oak", "1.5:s2:p1"), ("qasper-train-1-5-1-2-1", "1.5", "methods", "Well", "third part", "1.5:s1:p3"),
+        ("qasper-train-1-5-2-1-1", "1.5", "claims", "yes", "Oak", "1.5:s2:p1"), ("qasper-train-2-1-1-1", "2", "limitations", "no", "no limits.", "2:s1:p1"), ("qasper-train-2-2-1-1", "2", "claims", "unanswerable", "limits", "2:s1:p1"),
+    ]
+
+
+def test_question_corpus_in_both_forms(spark, tmp_path):
+    body = '{"p1":{"title":"T","full_text":[{"section_name":"Intro","paragraphs":["The graph method works well on five held out sets.",""]}],"qas":[{"question":"How does it work?","question_id":"q1","answers":[{"answer":{"extractive_spans":["graph method"],"evidence":["The graph method works well"]}}]}]},"p0":{"title":"U","full_text":{"section_name":["A"],"paragraphs":[["No limits."]]},"qas":{"question":["What fails?"],"question_id":["z"],"answers":[[{"answer":{"yes_no":false,"evidence":["No limits."]}}]]}}}'
+    (tmp_path / "train.json").write_text(body)
+    papers = readers.by_split({"train": readers.json_map(spark, f"{tmp_path}/train.json", seeds.QA_PAPER).select("pos", F.col("key").alias("paper_id"), "value.*")})
+    assert {(r.paper_id, r.answer_text, r.chunk_id) for r in seeds.question_corpus(papers)[1].collect()} == {("p1", "graph method", "p1:s1:p1"), ("p0", "no", "p0:s1:p1")}
+
+
 def test_json_lines(spark, tmp_path):
     f = tmp_path / "a.jsonl"
     f.write_text('{"x": 1}\n\n[2]\n{"x": 3}\n')
