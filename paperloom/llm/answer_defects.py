@@ -155,7 +155,7 @@ _CHEAP = frozenset("not cannot can't won't unable decline pass outside refuse in
 
 
 def is_refusal(tokens: list[str]) -> bool:
-    if len(tokens) > 40 or not _CHEAP.intersection(tokens):
+    if not _CHEAP.intersection(tokens):
         return False
     text = [{"cannot": "can't", "i'm": "i am"}.get(w, w) for w in tokens]
     text = " ".join(text).split(" ")
@@ -186,14 +186,33 @@ def is_echo(question: list[str], answer: list[str]) -> bool:
 
 
 _PARTICLES = frozenset("은 는 이 가 을 를 와 과 의 에 에서 에게 로 으로 보다 도 만 까지 부터 처럼 이다 다 들".split())
+_WHOLE = frozenset("yes no ja nein oui non sim não да нет 예 네 아니요 아니오".split())
 _OUTER = " \t\r\n\"'“”‘’«»()[]*_`;,:|#>"
 
 
+def _breaks_off(body: str, passage: str) -> bool:
+    """Wherever the answer stands in the passage from a word's beginning, the passage goes on
+    inside its last word, by more than a particle."""
+    a = "".join(c for c in body.lower() if c.isalnum())
+    p = [k for k, c in enumerate(passage) if c.isalnum()]
+    flat = "".join(c.lower() if len(c.lower()) == 1 else c for c in (passage[k] for k in p))
+    found, at = False, flat.find(a)
+    while at >= 0:
+        if at == 0 or p[at] > p[at - 1] + 1:
+            end = at + len(a)
+            if end == len(p) or p[end] > p[end - 1] + 1 or re.match(r"[^\W_]*", passage[p[end] :]).group() in _PARTICLES:
+                return False
+            found = True
+        at = flat.find(a, at + 1)
+    return found
+
+
 def is_truncated(answer: str, passage: str, lang: str | None) -> bool:
     body = answer.strip(_OUTER)
     tokens = words(body)
-    if len(tokens) < 2:
-        return False
+    if len(tokens) < 2:  # yes, no and numbers are whole, whatever words begin like them
+        plain = not tokens or tokens[0] in _WHOLE or tokens[0].isdigit() or body[-1] in ".!?。"
+        return not plain and bool(passage) and _breaks_off(body, passage)
     if body.endswith(("…", "...")):
         return True
     if body[-1] in "-‐" and body[-2:-1].isalpha():
@@ -203,16 +222,7 @@ def is_truncated(answer: str, passage: str, lang: str | None) -> bool:
     ends = {k: v for k, v in ENDLESS.items() if lang in (None, k)}
     if len(tokens) >= 3 and " | " not in body and any(tokens[-1] in v for v in ends.values()) and not re.search(r"\d\s*$", body):
         return True
-    if passage:
-        a = "".join(c for c in body.lower() if c.isalnum())
-        p = [(c, k) for k, c in enumerate(passage) if c.isalnum()]
-        flat = "".join(c.lower() if len(c.lower()) == 1 else c for c, _ in p)
-        if len(a) >= 8 and len(flat) > len(a) and flat.startswith(a):
-            here, after = p[len(a) - 1][1], p[len(a)][1]
-            if after == here + 1:  # the passage goes on inside the word
-                rest = re.match(r"[^\W_]*", passage[after:]).group()
-                return rest not in _PARTICLES
-    return False
+    return bool(passage) and _breaks_off(body, passage)
 
 
 def defect(question: str | None, answer: str | None, passage: str | None) -> str | None:

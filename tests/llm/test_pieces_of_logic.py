@@ -180,3 +180,14 @@ def test_older_encodings_and_lost_bytes():
     assert encoding.restore(t.encode("koi8-r").decode("cp1251"), m) == (t, True)
     assert encoding.restore("fa��ade", m)[1]
     assert encoding.restore("", m) == ("", False)
+
+
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("the tagger on ne", "truncated"), ("tagg", "truncated"), ("parser bea", "truncated"), ("the tagger on news", None), ("agger on ne", None), ("no", None), ("4", None), ("par", None),
+        ("I am unable to answer this question. " + "Sorry, " * 50, "refusal"),
+    ],
+)
+def test_breaks_anywhere_in_the_passage_and_long_refusals(answer, want):
+    assert ad.defect("Which set is used here?", answer, "Our parser beats the tagger on news, not by 42. A par is no parser.") == want
