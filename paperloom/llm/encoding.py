@@ -10,8 +10,8 @@
    characters are known to the corpus and it needs fewer bits under the pair model.
 
 In a run, a replacement character, a control character of the C1 range, or a first byte
-whose further bytes were lost is garbled even where nothing can be restored. A task counts
-equal texts once, so that a garbled text copied into many rows stays improbable.
+whose further bytes were lost is garbled even where nothing can be restored. Equal texts
+count once in the corpus, so that a garbled text copied into many rows stays improbable.
 
 Null and empty texts are never garbled; a document delivered twice counts once; texts
 are taken whole. All counts cover all documents.
@@ -25,7 +25,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,7 +102,7 @@ class PairModel:
         self.bits = -np.log2((pairs + 0.25) / self.n).astype(np.float32)
         self.pairs = pairs.astype(np.float64)
         self.chars = chars
-        self.known = frozenset(map(chr, np.flatnonzero(chars * 2e6 >= self.n).tolist())).issuperset
+        self.known = frozenset(map(chr, np.flatnonzero(chars).tolist())).issuperset
         self.runs: dict[tuple[str, str, str], str | None] = {}
         self.bits_of: dict[str, float] = {}
 
@@ -267,19 +266,14 @@ def restore(text: str, model: PairModel) -> tuple[str, bool]:
 
 
 def corpus_model(texts: DataFrame, column: str = "text") -> PairModel:
-    seen: set[int] = set()
+    """Every different text counts once, however the table is split into tasks."""
 
     def slots(rb: pa.RecordBatch) -> list[np.ndarray]:
-        fresh = []
-        for t in rb.column(0).to_pylist():
-            h = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
-            if h not in seen:
-                seen.add(h)
-                fresh.append(t)
-        cp = codes("\x00".join(fresh))
+        cp = codes("\x00".join(rb.column(0).to_pylist()))
         return [pair_slots(cp) if len(cp) > 1 else np.zeros(0, np.int64), np.minimum(cp, (1 << CHAR_BITS) - 1).astype(np.int64)]
 
-    pairs, chars = hashed_counts(texts.select(column).where(F.col(column) != ""), slots, 2, max(PAIR_BITS, CHAR_BITS))
+    once = texts.select(column).where(F.col(column) != "").groupBy(F.xxhash64(column), F.length(column)).agg(F.min(column).alias(column)).select(column)
+    pairs, chars = hashed_counts(once, slots, 2, max(PAIR_BITS, CHAR_BITS))
     return PairModel(pairs[: 1 << PAIR_BITS], chars[: 1 << CHAR_BITS])
 
 

@@ -191,3 +191,17 @@ def test_older_encodings_and_lost_bytes():
 )
 def test_breaks_anywhere_in_the_passage_and_long_refusals(answer, want):
     assert ad.defect("Which set is used here?", answer, "Our parser beats the tagger on news, not by 42. A par is no parser.") == want
+
+
+def test_rare_character_of_a_large_corpus_is_restored():
+    text = "the oak grows in the wood near the mill and the river. " * 60_000 + "Erdős űr hű "
+    cp = encoding.codes(text)
+    model = encoding.PairModel(np.bincount(encoding.pair_slots(cp), minlength=1 << encoding.PAIR_BITS), np.bincount(cp, minlength=1 << encoding.CHAR_BITS))
+    garbled = "the river and Erdős near".encode().decode("cp1252")
+    assert encoding.restore(garbled, model) == ("the river and Erdős near", True)
+
+
+def test_model_does_not_depend_on_tasks(spark):
+    df = spark.createDataFrame([(x,) for x in ("one oak", "two", "one oak", None, "", "one oak", "two")], "text string")
+    counts = [encoding.corpus_model(df.repartition(n)).chars for n in (1, 7)]
+    assert (counts[0] == counts[1]).all() and counts[0][ord("k")] == 1 and counts[0][ord("w")] == 1
