@@ -126,6 +126,28 @@ def dangling_edges(spark, d):
     return graph.dangling_edges(graph.edges(it, extract.method_concept_relations(named_concepts(it))), n)
 
 
+_CUT, _WHOLE = "case when item_type = 'Concept' then lower(split_part(text, ' ', 2)) else lower(text) end as text", "lower(text) as text"
+
+
+@query(f"with {o.CONCEPTS.replace(_CUT, _WHOLE)} select source, target, type, section, evidence_span, confidence from rel")
+def method_concept_relations_whole(spark, d):
+    """Over whole concepts; the queries above cut them, as their SQL does."""
+    return extract.method_concept_relations(items(spark, d)).select("source", "target", "type", "section", "evidence_span", "confidence")
+
+
+@query(f"with {o.EDGES.replace(_CUT, _WHOLE)} select source, target, type, paper_id, section, evidence_span, confidence from edges")
+def graph_edges_whole(spark, d):
+    it = items(spark, d)
+    return graph.edges(it, extract.method_concept_relations(it)).select("source", "target", "type", "paper_id", "section", "evidence_span", "confidence")
+
+
+@query(f"with {o.EDGES.replace(_CUT, _WHOLE)} select source, target, target as missing from edges where type = 'paper_uses_method' union all select source, target, source from edges where type = 'uses'")
+def dangling_edges_whole(spark, d):
+    it = items(spark, d)
+    n = graph.nodes(parse.document_titles(docs(spark, d)), it).where("type <> 'Method'")
+    return graph.dangling_edges(graph.edges(it, extract.method_concept_relations(it)), n)
+
+
 @query("""select cast(o_orderkey as varchar) as source, cast(o_custkey as varchar) as target, 'c' || cast(o_custkey as varchar) as missing from orders where o_custkey % 7 = 0""")
 def tpch_graph_integrity(spark, d):
     c, od = t(spark, d, "customer"), t(spark, d, "orders")

@@ -74,6 +74,17 @@ def test_items_graph_and_reports(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/m", header=True).count() == 6
 
 
+def test_whole_concepts_are_matched(spark, tmp_path):
+    from paperloom.plans.queries import QUERIES
+
+    text = "# T\n## Methods\n- Method: a graph of Red Oak\n- Method: rings\n- Concept: red oak\n- Concept: blue oak\n- Concept: oak rings\n"
+    spark.createDataFrame([(1, text), (2, "# U\n- Method: blue oak\n")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {k: [(r.source, r.target) for r in QUERIES[f"{k}_whole"](spark, str(tmp_path)).collect()] for k in ("method_concept_relations", "graph_edges", "dangling_edges")}
+    assert got["method_concept_relations"] == [("1:method:1", "1:concept:1")]
+    assert sorted(got["graph_edges"]) == [("1", "1:method:1"), ("1", "1:method:2"), ("1:method:1", "1:concept:1"), ("2", "2:method:1")]
+    assert sorted(got["dangling_edges"]) == sorted(got["graph_edges"])
+
+
 def cand(**over):
     base = dict(candidate_id="c", source_dataset="scier", paper_id="p", section="s", chunk_id="k", chunk_text="The parser beats the tagger on news.", label_bucket="methods", label_text="parser", evidence_span="the parser", relation_type="", source_id="", target_id="", source_label="{}", title="", label_id="")
     return Row(**(base | over))
