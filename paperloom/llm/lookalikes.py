@@ -1,12 +1,21 @@
 """Problem 5: one form for texts that look the same.
 
-A transducer, compiled once from a mapping, rewrites a text in one pass over its
-grapheme clusters (a character with its marks, a syllable of separate parts), longest
-match first. The mapping comes from rules over the Unicode database and the short
-tables below; compiling it fails if a source has two targets or a target is itself
-rewritten. Look-alike letters depend on their word: in a word of several scripts the
-letters that have no double decide the script, else the more frequent script does, and
-the doubles of the others are replaced. Whole words of another script stay.
+One longest-match transducer over grapheme clusters, compiled once on the driver and sent
+to the executors, rewrites a text in one pass. Its mapping is computed by rules over
+the Unicode database and the short tables below:
+
+* single characters: full-width, half-width, styled and joined letter forms, characters
+  that are another one by definition, blanks, and what can't be seen;
+* clusters: a base with its marks, or a syllable of separate parts, in canonical order,
+  and the one character they are. Variants and invisible characters within a cluster
+  are rewritten on the way into it, marks are put into canonical order;
+* look-alike letters by script: a word's output is held until the word ends. In a word
+  of several scripts the letters that have no double decide the script, else the more
+  frequent script does, and the clusters with a double in it are matched again with it.
+  Whole words of another script stay.
+
+Compiling fails if a source has two targets, if a target is itself rewritten, or if a
+double is no letter of its script.
 
 Null stays null, an empty text empty. Tabs, line breaks, typographic quotes, dashes,
 superscripts and symbols stay.
@@ -17,7 +26,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -30,10 +39,18 @@ from .common import table
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝүАВЕКМНОРСТУХІЈЅԌҮ", "aeopcyxijshdqwyABEKMHOPCTYXIJSGY", strict=True))
 GREEK = dict(zip("αοινρυκϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "aoivpukcjABEZHIKMNOPTYXCJ", strict=True))
 ARMENIAN = dict(zip("օոսհցքՕՏՍԼ", "onuhgpOSUL", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃᎡ", "ABCDEGHJKLMPSTVWZR", strict=True))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+COPTIC = dict(zip("ⲞⲟⲢⲣⲤⲥⲦⲬⲔⲘⲚⲎ", "OoPpCcTXKMNH", strict=True))
+#: Latin letters that look like another one.
+LATIN = dict(zip("ɑɡ", "ag", strict=True))
 #: Letters that look like a space or nothing.
 FILLERS = "ᅟᅠㅤﾠ͏᠎឴឵⠀"
 KEEP = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
-SCRIPTS = {"Latin": "A-Za-zªºÀ-ÖØ-öø-ʸᴀ-ᴥᴬ-ᵜᵢ-ᵥᵫ-ᵷᵹ-ᶾḀ-ỿⅠ-ↈⱠ-ⱿꜢ-ꞇ", "Cyrillic": "Ѐ-҄҇-ԯᲀ-ᲈᴫᵸⷠ-ⷿꙀ-ꚟ", "Greek": "Ͱ-ͳ͵-ͷͺ-ͽͿ΄ΆΈ-ϡϰ-Ͽἀ-῾", "Armenian": "Ա-Ֆՙ-֊"}
+SCRIPTS = {"Latin": "A-Za-zªºÀ-ÖØ-öø-ʸᴀ-ᴥᴬ-ᵜᵢ-ᵥᵫ-ᵷᵹ-ᶾḀ-ỿⅠ-ↈⱠ-ⱿꜢ-ꞇ", "Cyrillic": "Ѐ-҄҇-ԯᲀ-ᲈᴫᵸⷠ-ⷿꙀ-ꚟ", "Greek": "Ͱ-ͳ͵-ͷͺ-ͽͿ΄ΆΈ-ϡϰ-Ͽἀ-῾", "Armenian": "Ա-Ֆՙ-֊", "Cherokee": "Ꭰ-Ᏽ", "Lisu": "ꓐ-ꓷ", "Coptic": "Ⲁ-ⳮϢ-ϯ"}
+
+
+DOUBLES = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN, "Cherokee": CHEROKEE, "Lisu": LISU, "Coptic": COPTIC}
 
 
 def _styled(ch: str) -> str | None:
@@ -42,7 +59,9 @@ def _styled(ch: str) -> str | None:
     if not d.startswith("<"):
         return None
     kind, cat = d[1 : d.index(">")], unicodedata.category(ch)
-    if kind in ("wide", "narrow", "font", "initial", "medial", "final", "isolated"):
+    if kind == "narrow":  # half-width syllable parts are letters of their own
+        return chr(int(d.split()[1], 16))
+    if kind in ("wide", "font", "initial", "medial", "final", "isolated"):
         return unicodedata.normalize("NFKC", ch)
     if kind == "compat" and (cat[0] == "L" or cat == "Nl") and len(unicodedata.normalize("NFKC", ch)) > 1 and ch not in "ŉ":
         return unicodedata.normalize("NFKC", ch)
@@ -51,171 +70,191 @@ def _styled(ch: str) -> str | None:
     return None
 
 
-@cache
-def mapping() -> dict[str, str]:
-    """Single characters and what they become, by rule."""
-    out: dict[str, str] = {}
+def mapping() -> Iterator[tuple[str, str]]:
+    """Sources and targets by rule: single characters, and clusters in canonical order."""
     for cp in range(sys.maxunicode + 1):
         if 0xD800 <= cp < 0xE000 or 0x3130 <= cp < 0x3190:
             continue
         ch = chr(cp)
-        cat = unicodedata.category(ch)
         if ch in KEEP or ch == " ":
             continue
+        cat = unicodedata.category(ch)
         if cat in ("Cf", "Cc") or ch in FILLERS or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or 0x180B <= cp <= 0x180D:
-            out[ch] = ""
+            yield ch, ""
         elif cat == "Zs":
-            out[ch] = " "
+            yield ch, " "
         elif (to := _styled(ch)) is not None:
-            out[ch] = to
+            yield ch, to
+        elif (to := LATIN.get(ch)) is not None:
+            yield ch, to
+        elif cat != "Cn" and (to := unicodedata.normalize("NFC", ch)) != ch:
+            yield ch, to
+        elif cat != "Cn" and (parts := unicodedata.normalize("NFD", ch)) != ch:
+            yield parts, ch
+
+
+def settled(rules: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """Rules by source; targets are rewritten by the single characters' rules until nothing
+    changes. Two targets of one source are an error."""
+    out: dict[str, str] = {}
+    for s, t in rules:
+        if out.setdefault(s, t) != t:
+            raise ValueError(f"two targets of {s!r}")
+    for s, t in out.items():
+        while len(s) == 1 and (new := unicodedata.normalize("NFC", "".join(out.get(c, c) for c in t))) != t:
+            t = new
+        out[s] = t
+    return out
+
+
+def _to_script(script: str, doubles: dict[str, dict[str, str]]) -> dict[str, str]:
+    """Doubles of the other scripts' letters in this script; Latin is the pivot."""
+    if script == "Latin":
+        return {k: v for d in doubles.values() for k, v in d.items()}
+    back = {v: k for k, v in doubles[script].items()}
+    out = dict(back)
+    for name, d in doubles.items():
+        if name != script:
+            out |= {k: back[v] for k, v in d.items() if v in back}
     return out
 
 
 class Transducer:
-    """Longest-match rewriting, compiled from a mapping of strings."""
-
-    def __init__(self, rules: dict[str, str]):
-        for source, target in rules.items():
-            if not source or source == target:
-                raise ValueError(f"no rule: {source!r}")
-            if any(target[i:j] in rules for i in range(len(target)) for j in range(i + 1, len(target) + 1)):
-                raise ValueError(f"the target of {source!r} is itself rewritten")
-        self.rules = rules
+    """Longest-match rewriting of clusters, compiled from a mapping of strings and, by script,
+    the letters that look like Latin ones."""
+
+    def __init__(self, rules: dict[str, str], doubles: dict[str, dict[str, str]] | None = None):
+        doubles = doubles or {}
+        self.single = {s: t for s, t in rules.items() if len(s) == 1}
+        self.cluster = {s: t for s, t in rules.items() if len(s) > 1}
         self.longest = max(map(len, rules), default=0)
-        self.starts = frozenset(s[0] for s in rules)
+        self.parts = {t: s for s, t in self.cluster.items() if len(t) == 1}
+        self.later = frozenset(c for s in self.cluster for c in s[1:])
+        self.to_script = {n: _to_script(n, doubles) for n in (["Latin", *doubles] if doubles else [])}
+        self.has_double = {n: frozenset(d) for n, d in doubles.items()}
+        if doubles:
+            self.has_double["Latin"] = frozenset(self.to_script["Latin"].values())
+        self.script_of = {n: re.compile(f"[{SCRIPTS[n]}]") for n in self.to_script}
+        self.tokens = self._tokens()
+        self.known: dict[str, str] = {}
+        for s, t in rules.items():
+            if not s or s == t:
+                raise ValueError(f"no rule: {s!r}")
+            if len(s) > 1 and any(c in self.single for c in s):
+                raise ValueError(f"a part of {s!r} is itself rewritten")
+            if self.apply(t) != t:
+                raise ValueError(f"the target of {s!r} is itself rewritten")
+        for n, pairs in self.to_script.items():
+            for s, t in pairs.items():
+                if self._script(t) != n or s in self.script_of and t in pairs:
+                    raise ValueError(f"{t!r} is no {n} double of {s!r}")
+
+    def _tokens(self) -> re.Pattern:
+        """Runs of letters and digits with a character beyond ASCII, or with a source of a rule;
+        within the first plane a class is a bitmap lookup."""
+        marks = [c for c in map(chr, range(0x80, 0x10000)) if unicodedata.combining(c) or c in self.later]
+        own = {ord(c) for c in self.single} | {ord(c) for c in marks} | {ord(c) for c in self.later} | {cp for cp in range(0x80, 0x10000) if chr(cp).isalnum()}
+        odd, mark = _ranges(c for c in own if c < 0x10000) + "\U00010000-\U0010ffff", _ranges(map(ord, marks))
+        base = f"|[^A-Za-z0-9\\s](?=[{mark}])" if mark else ""
+        return re.compile(f"(?:[A-Za-z0-9]*{base})[{odd}][A-Za-z0-9{odd}]*")
 
     def apply(self, text: str) -> str:
-        out, at, n = [], 0, len(text)
-        while at < n:
-            if text[at] in self.starts:
-                for size in range(min(self.longest, n - at), 0, -1):
-                    to = self.rules.get(text[at : at + size])
-                    if to is not None:
-                        out.append(to)
-                        at += size
-                        break
+        return self.tokens.sub(self._known, text)
+
+    def _known(self, found: re.Match) -> str:
+        token = found.group()
+        out = self.known.get(token)
+        if out is None:
+            if len(self.known) >= 1 << 17:
+                self.known.clear()
+            out = self.known[token] = self._token(token)
+        return out
+
+    def _token(self, token: str) -> str:
+        out: list[str] = []
+        word: list[str] = []  # clusters of the open word
+        for cluster in self._clusters(token):
+            made = self._match(cluster)
+            if made[:1].isalnum():
+                word.append(made)
+                continue
+            out += self._one_script(word)
+            word = []
+            out.append(made)
+        return "".join([*out, *self._one_script(word)])
+
+    def _clusters(self, token: str) -> Iterator[str]:
+        open_ = ""
+        for ch in token:
+            for c in self.single.get(ch, ch):
+                if open_ and (c in self.later or unicodedata.combining(c)):
+                    open_ += c
                 else:
-                    out.append(text[at])
-                    at += 1
-            else:
-                out.append(text[at])
-                at += 1
-        return "".join(out)
-
-
-def _settled(rules: dict[str, str]) -> dict[str, str]:
-    """Rules whose targets are rewritten until nothing changes."""
-    out = {}
-    for s, t in rules.items():
-        for _ in range(5):
-            new = unicodedata.normalize("NFC", "".join(rules.get(c, c) for c in t))
-            if new == t:
-                break
-            t = new
-        if s != t:
-            out[s] = t
+                    if open_:
+                        yield open_
+                    open_ = c
+        if open_:
+            yield open_
+
+    def _match(self, cluster: str) -> str:
+        if len(cluster) == 1:
+            return cluster
+        # the base has class 0 and stays first
+        key = "".join(self.parts.get(c, c) for c in cluster)
+        key = "".join(_ordered(key))
+        for size in range(min(self.longest, len(key)), 1, -1):
+            to = self.cluster.get(key[:size])
+            if to is not None:
+                return to + key[size:]
+        return key
+
+    def _script(self, ch: str) -> str | None:
+        return next((n for n, p in self.script_of.items() if p.match(ch)), None)
+
+    def _one_script(self, word: list[str]) -> list[str]:
+        of: dict[str, list[str]] = {}
+        for c in word:
+            if (n := self._script(c[0])) is not None:
+                of.setdefault(n, []).append(c[0])
+        if len(of) < 2:
+            return word
+        own = {n: sum(c not in self.has_double[n] for c in letters) for n, letters in of.items()}
+        order = sorted(of, key=lambda n: (own[n], len(of[n]), n == "Latin"), reverse=True)
+        # the first script in which all the others' letters have a double
+        pick = next((n for n in order if all(c in self.to_script[n] for m in of if m != n for c in of[m])), order[0])
+        to, keep = self.to_script[pick], set(of[pick])
+        return [c if c[0] in keep or c[0] not in to else self._match(to[c[0]] + c[1:]) for c in word]
+
+
+def _ordered(marks: str) -> list[str]:
+    """Marks in canonical order: by class, as they come within one and around class 0."""
+    out: list[str] = []
+    for c in marks:
+        k, n = unicodedata.combining(c), len(out)
+        while k and n and unicodedata.combining(out[n - 1]) > k:
+            n -= 1
+        out.insert(n, c)
     return out
 
 
-@cache
-def transducer() -> Transducer:
-    return Transducer(_settled(mapping()))
+def _ranges(points: Iterable[int]) -> str:
+    parts: list[list[int]] = []
+    for cp in sorted(points):
+        if parts and cp == parts[-1][1] + 1:
+            parts[-1][1] = cp
+        else:
+            parts.append([cp, cp])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in parts)
 
 
 @cache
-def _ranges() -> list[tuple[int, int]]:
-    """The single characters with a rule, as ranges of code points."""
-    cps = sorted(ord(c) for c in mapping())
-    parts, begin, last = [], cps[0], cps[0]
-    for cp in [*cps[1:], -1]:
-        if cp != last + 1:
-            parts.append((begin, last))
-            begin = cp
-        last = cp
-    return parts
-
-
-MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯"
-PARTS = "ᄀ-ᇿꥠ-ꥼힰ-ퟻ"
-
-
-OTHER = SCRIPTS["Cyrillic"] + SCRIPTS["Greek"] + SCRIPTS["Armenian"]
-
-
-@cache
-def _patterns():
-    bmp = "".join(f"\\u{a:04x}-\\u{min(b, 0xFFFF):04x}" for a, b in _ranges() if a <= 0xFFFF)
-    # Within the first plane a class is a bitmap lookup; one range holds all beyond it.
-    first = re.compile(f"[{bmp}{MARKS}{PARTS}]")
-    beyond = re.compile("[\U00010000-\U0010ffff]")
-    cluster = re.compile(f"[^{MARKS}{PARTS}][{MARKS}]+|[{PARTS}]+[{MARKS}]*")
-    other = re.compile(f"[{OTHER}]+")
-    scripts = {name: re.compile(f"[{c}]") for name, c in SCRIPTS.items()}
-    return first, beyond, cluster, other, scripts
-
-
-_DOUBLES = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN}
-
-
-@cache
-def _to_script(script: str) -> dict[str, str]:
-    """Doubles of the other scripts' letters in this script; Latin is the pivot."""
-    if script == "Latin":
-        return {k: v for d in _DOUBLES.values() for k, v in d.items()}
-    back = {v: k for k, v in _DOUBLES[script].items()}
-    out = dict(back)
-    for name, d in _DOUBLES.items():
-        if name != script:
-            out |= {k: back[v] for k, v in d.items() if v in back}
-    return out
-
-
-def _one_script(word: str) -> str:
-    scripts = _patterns()[-1]
-    of = {name: p.findall(word) for name, p in scripts.items()}
-    of = {name: letters for name, letters in of.items() if letters}
-    if len(of) < 2:
-        return word
-    latin_doubles = set(_to_script("Latin").values())
-
-    def own(name: str) -> int:
-        doubles = latin_doubles if name == "Latin" else _DOUBLES[name]
-        return sum(c not in doubles for c in of[name])
-
-    order = sorted(of, key=lambda n: (own(n), len(of[n]), n == "Latin"), reverse=True)
-    # the first script in which all the others' letters have a double
-    pick = next((n for n in order if all(c in _to_script(n) for m in of if m != n for c in of[m])), order[0])
-    to, keep = _to_script(pick), set(of[pick])
-    return "".join(c if c in keep else to.get(c, c) for c in word)
-
-
-def _scripts_apart(text: str) -> str:
-    """The text with each word of several scripts in one of them."""
-    other = _patterns()[3]
-    out, at = [], 0
-    for m in other.finditer(text):
-        lo, hi = m.span()
-        if lo < at:
-            continue
-        alone = not (text[lo - 1 : lo].isalnum() or text[hi : hi + 1].isalnum())
-        if alone and (hi - lo == 1 or "Ѐ" <= min(m.group()) and max(m.group()) < "԰"):
-            continue
-        while lo > at and text[lo - 1].isalnum():
-            lo -= 1
-        while hi < len(text) and text[hi].isalnum():
-            hi += 1
-        out += [text[at:lo], _one_script(text[lo:hi])]
-        at = hi
-    return "".join([*out, text[at:]]) if out else text
+def transducer() -> Transducer:
+    return Transducer(settled(mapping()), DOUBLES)
 
 
 def consistent(text: str) -> str:
     """The one form of a text; applying it again changes nothing."""
-    first, beyond, cluster, other, _ = _patterns()
-    if first.search(text) or beyond.search(text):
-        text = transducer().apply(text)
-        text = cluster.sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
-    return _scripts_apart(text) if other.search(text) else text
+    return transducer().apply(text)
 
 
 def suspicious(col: Column) -> Column:
@@ -230,14 +269,16 @@ def rewrite(df: DataFrame, columns: list[str]) -> DataFrame:
     sent = df.select(*keep, *[F.when(suspicious(F.col(c)), F.col(c)).alias(c) for c in columns])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name in keep)
     schema += "".join(f", `{c}_form` string" for c in columns)
+    compiled = df.sparkSession.sparkContext.broadcast(transducer())  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = compiled.value.apply
         for rb in batches:
             cols = [rb.column(rb.schema.get_field_index(c)) for c in keep]
             for c in columns:
                 forms = []
                 for t in rb.column(rb.schema.get_field_index(c)).to_pylist():
-                    form = None if t is None else consistent(t)
+                    form = None if t is None else apply(t)
                     forms.append(None if form == t else form)
                 cols.append(pa.array(forms, pa.string()))
             yield pa.RecordBatch.from_arrays(cols, [*keep, *(f"{c}_form" for c in columns)])

@@ -2,9 +2,10 @@
 
 Balanced targets: take the least number of pieces the limit allows, place the cuts
 for pieces of equal length, and move each to the strongest boundary nearby that
-keeps both limits feasible. If a cut finds no boundary, one more piece is tried, which
-widens the room for each cut; when no number helps (a text without any break), the
-least number is cut at the targets, never between a base and its marks.
+keeps both limits feasible. A cut moved shifts the targets of those after it. If a cut
+finds no boundary, one piece more is planned from there on, which widens the room for
+it; where no number helps (no break within the limit), the text is cut at the
+target, never between a base and its marks.
 
 A piece starts exactly ``overlap`` characters before the end of the one before it, so
 piece 1 and the rest of each later piece give back the text. Outer spaces, tabs
@@ -15,6 +16,7 @@ Rows delivered twice (equal key) are cut once. Lengths are code points.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,51 +38,47 @@ _JOINED = re.compile(r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︀-️︠-︯‍ᅠ-ᇿ\n]")
 
 
 def cuts(text: str, limit: int, overlap: int) -> list[int]:
-    """Ends of the pieces."""
+    """Ends of the pieces, in time proportional to the text."""
     size, step = len(text), limit - overlap
     if step <= 0:
         raise ValueError("the overlap must be smaller than the limit")
-    if size <= limit:
-        return [size]
-    least = -(-(size - overlap) // step)
-    found: list[list[int]] = [sorted(m.end() for m in b.finditer(text)) for b in BOUNDARIES]
-    first = None
-    for n in range(least, 2 * least + 2):
-        ends, natural = _place(text, found, n, size, limit, overlap)
-        first = first or ends
-        if natural:
-            return ends
-    return first
-
-
-def _place(text: str, found: list[list[int]], n: int, size: int, limit: int, overlap: int) -> tuple[list[int], bool]:
-    from bisect import bisect_left, bisect_right
-
-    step, each = limit - overlap, (size + (n - 1) * overlap) / n
-    ends, natural = [], True
-    for i in range(1, n):
-        target = round(i * (each - overlap) + overlap)
-        before = ends[-1] if ends else overlap
-        low = max(before + 1, size - (n - i) * step)
+    found = [[m.end() for m in b.finditer(text)] for b in BOUNDARIES] if size > limit else []
+    ends: list[int] = []
+    before = overlap  # where the last piece ended; the first one gives nothing twice
+    left = -(-(size - overlap) // step)  # pieces still to come, this one included
+    while left > 1:
+        each = (size - before) / left  # new characters of each piece that is left
+        target = before + round(each)
         high = min(before + step, size - 1)
-        room = max(1, int(each - overlap) // 4)
-        near = (max(low, target - room), min(high, target + room))
-        pick = None
-        for lo, hi in (near, (low, high)):
-            for at in found:
-                k = at[bisect_left(at, lo) : bisect_right(at, hi)]
-                if k:
-                    pick = min(k, key=lambda x: (abs(x - target), x))
-                    break
-            if pick is not None:
-                break
+        low = max(before + 1, size - (left - 1) * step)
+        room = max(1, int(each) // 4)
+        pick = _nearest(found, max(low, target - room), min(high, target + room), target)
         if pick is None:
-            natural = False
+            pick = _nearest(found, low, high, target)
+        if pick is None and low > before + 1 and _nearest(found, before + 1, high, target) is not None:
+            left += 1  # a boundary can be met only with one piece more
+            continue
+        if pick is None:  # no boundary within reach of any number of pieces
             pick = min(max(target, low), high)
             while pick > low and _JOINED.match(text[pick]):
                 pick -= 1
         ends.append(pick)
-    return [*ends, size], natural
+        before, left = pick, left - 1
+    return [*ends, size]
+
+
+def _nearest(found: list[list[int]], low: int, high: int, target: int) -> int | None:
+    """The boundary nearest to the target among the strongest ones from low to high."""
+    for at in found:
+        k = bisect_left(at, target)
+        near = [x for x in at[max(0, k - 1) : k + 1] if low <= x <= high]
+        if near:
+            return min(near, key=lambda x: (abs(x - target), x))
+        if low > target or high < target:
+            k = bisect_left(at, low)
+            if k < len(at) and at[k] <= high:
+                return at[k] if low > target else at[bisect_right(at, high) - 1]
+    return None
 
 
 def split_pieces(texts: DataFrame, limit: int, overlap: int) -> DataFrame:

@@ -13,7 +13,7 @@ the join condition: length ratio, the places of the shared shingle, and a parity
 bitmap of the words, whose differing bits can't outnumber the unmatched words.
 Survivors are verified by a bit-parallel longest common subsequence.
 
-The order of rarity comes from a hashed count of fixed size; any common order is
+The order of rarity comes from a hashed count of bounded size; any common order is
 exact, a finer one only gives fewer pairs. Equal texts are first united in a class;
 classes are joined, so a text copied into a third of all rows is joined once.
 
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import alike, folded, materialize, table
 from .sketch import hashed_counts
 
-SKETCH_BITS = 20
+#: The sketch of rarity has eight counters for each different text, within these bounds
+#: (a broadcast of 4 to 64 MB); its size changes no result.
+LEAST_BITS, MOST_BITS = 20, 24
 LANES = 4  # 64-bit words of the parity bitmap
 
 
@@ -76,12 +78,15 @@ def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return h, lengths, two, owner[:-1][inside]
 
 
-def _slots(rb: pa.RecordBatch) -> list[np.ndarray]:
-    _, _, two, owner = _shingles(rb.column("words"))
-    slot = (two & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
-    train = rb.column("train").to_numpy(zero_copy_only=False)[owner]
-    held = rb.column("held").to_numpy(zero_copy_only=False)[owner]
-    return [slot[train], slot[held]]
+def _slots(bits: int):
+    def slots(rb: pa.RecordBatch) -> list[np.ndarray]:
+        _, _, two, owner = _shingles(rb.column("words"))
+        slot = (two & np.uint64((1 << bits) - 1)).astype(np.int64)
+        train = rb.column("train").to_numpy(zero_copy_only=False)[owner]
+        held = rb.column("held").to_numpy(zero_copy_only=False)[owner]
+        return [slot[train], slot[held]]
+
+    return slots
 
 
 _ENTRY = "no long, side boolean, shingle long, place int, n int, " + ", ".join(f"p{i} long" for i in range(LANES))
@@ -96,7 +101,7 @@ def _prefixes(weight):
             if not rb.num_rows:
                 continue
             h, lengths, two, owner = _shingles(rb.column("words"))
-            slot = (two & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+            slot = (two & np.uint64(len(rank) - 1)).astype(np.int64)
             r = rank[slot]
             first = np.cumsum(lengths) - lengths  # of each text's words
             begin = first - np.arange(len(lengths))  # of its shingles
@@ -136,9 +141,10 @@ def overlapping_classes(classes: DataFrame) -> DataFrame:
     """classes(no, words, train, held), words with one blank between: (a, b) of the
     overlapping pairs of a class with train texts and another with held-out texts."""
     spark = classes.sparkSession
-    train, held = hashed_counts(classes.select("words", "train", "held"), _slots, 2, SKETCH_BITS)
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * classes.count()).bit_length()))
+    train, held = hashed_counts(classes.select("words", "train", "held"), _slots(bits), 2, bits)
     both = np.where((train > 0) & (held > 0), train.astype(float) * held, 0)
-    # float32 keeps the order well enough; the array's size is fixed by SKETCH_BITS.
+    # float32 keeps the order well enough; the array's size is bounded by MOST_BITS.
     weight = spark.sparkContext.broadcast(both.astype(np.float32))
     entries = materialize(classes.mapInArrow(_prefixes(weight), _ENTRY))
     t = entries.where("side").drop("side")

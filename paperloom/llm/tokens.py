@@ -5,23 +5,25 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ranks of a byte-level vocabulary for many languages; each executor reads the file.
+#: Ranks of a byte-level vocabulary for many languages. The default of a parameter; only
+#: the driver reads the file, executors get its bytes (below 1 MB) with the job.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that cuts text before byte pairs are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @cache
-def encoding(vocabulary: str):
+def encoding(vocabulary: bytes):
+    """The tokenizer of a vocabulary file's content."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -29,9 +31,10 @@ def sized(docs: DataFrame, key: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs(key, text, ...) with ``tokens`` for ``text``; null and empty texts have 0."""
     keep = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", tokens long"
+    content = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
+        enc = encoding(content.value)
         for rb in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in rb.column(rb.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(rb.column(rb.schema.get_field_index(c)) for c in keep), pa.array(n, pa.int64())], [*keep, "tokens"])
