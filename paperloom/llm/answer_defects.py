@@ -3,110 +3,133 @@
 Each pair gets at most one defect, the first that holds of
 
 * ``empty``: no letter or digit, or a placeholder for a missing value;
-* ``refusal``: the answer aligns (longest common subsequence of words) with a refusal
-  template, and little but courtesy is left beside it;
+* ``refusal``: the answer, up to a word that opens a reason, aligns (longest common
+  subsequence of words) with a refusal template, and little but courtesy is left beside it;
 * ``echo``: the answer's two-word shingles are contained in the question's and the common
   subsequence covers the question, so that nothing is added to it;
-* ``other_language``: a sentence in another language than the question, told by scripts
-  and function words;
+* ``other_language``: a sentence (five words, or two and a mark that ends one) in another
+  language than the question. Word profiles of the languages are learned from
+  ``documents.lang``; the log-likelihood must favour another language by ``EVIDENCE``.
+  Where the profiles tell nothing, letters of another script do. What stands in
+  quotation marks tells nothing of an answer, and a question of names alone is
+  taken to be in the language of its passage;
 * ``truncated``: ends in an ellipsis or hyphen, ends where the passage goes on inside a
   word, or ends with a word that cannot end a clause.
 
+The profiles are fitted on ``PROFILE_TEXTS`` whole texts of each language at most, those
+with the smallest hash of their id; all else covers all rows.
+
 A null answer is empty. A null or empty question has no echo and no language. A null
 passage tells nothing of a break. Whole texts are compared. Candidates delivered twice
-give one row.
+give one row. Without labelled documents scripts alone tell languages apart.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
-from .lookalikes import consistent
+from .common import folded, table
+from .lookalikes import Transducer, transducer
+from .sketch import hashed_counts
 from .split_overlap import lcs
 
+#: Bounds of the language profiles: whole texts of each language, and its hashed words.
+PROFILE_TEXTS, PROFILE_BITS = 2000, 17
+#: A label on fewer than one in so many labelled documents is no language.
+RARE_LABEL = 1000
+#: Natural logarithm of the odds from which a text is in one language and not in another.
+EVIDENCE = 9.0
+#: Frequency given to a word that a language's profile lacks.
+FLOOR = 1e-6
+
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 # What stands for a missing value, letters and digits only, lower case.
 PLACEHOLDERS = frozenset("null none nil nan na tbd tba todo undefined missing empty blank notavailable notapplicable noanswer unknown placeholder xxx void ka kangabe keineangabe sansobjet nd нд нетданных semresposta 없음 해당없음 미정".split()) - {"unknown", "void"}
 
-#: Templates of a refusal by language, without the courtesies around them.
+_ACT = "answer/answering/help/assist/discuss/discussing/provide/respond/comment/commenting/comply/reply/address/share/give/offer/support/fulfil/fulfill/do/engage/advise/speak/say/cover/complete/explain"
+_HELFEN = "beantworten/antworten/helfen/weiterhelfen/geben/äußern/sagen/unterstützen/bearbeiten/erfüllen/eingehen/kommentieren/nachkommen/behandeln/antwort"
+_AIDER = "répondre/aider/traiter/fournir/donner/commenter/discuter/satisfaire/communiquer/assister/prononcer/réponse"
+_AJUDAR = "responder/ajudar/ajudá/fornecer/discutir/comentar/atender/dar/auxiliar/tratar/resposta"
+_OTVET = "ответить/отвечать/помочь/помогать/обсуждать/комментировать/предоставить/дать/выполнить/раскрывать/прокомментировать/ответа"
+#: Templates of a refusal by language, a word or its alternatives at each place, without the
+#: courtesies around them and the object of the refusal.
 REFUSALS = [
-    t.split()
-    for t in """
-i can't help with that request
-i can't help with this one
-i cannot assist with that
-i am unable to answer this question
-i am not able to answer this question
-i am unable to help with that
-we are unable to assist with that
-i won't be able to assist you with this
-i won't be able to help you with that
-i'm not able to give an answer
-i don't feel comfortable answering that
-i am not comfortable answering this
-i am not able to discuss the contents of this paper
-i cannot discuss this topic
-my guidelines do not allow me to answer questions of this kind
-my instructions prevent me from answering that
-i must decline to respond here
-i must decline to answer
-i have to decline this request
-i refuse to answer this question
-i cannot provide an answer to this
-i can't provide that information
-i cannot answer that question
-i do not have permission to respond
-i am not allowed to answer that
-answering this is outside what i may do
-this cannot be answered by an assistant like me
-i have to pass on this question
-that is something i won't comment on
-i would rather not answer that
-i prefer not to answer that
-it would not be appropriate for me to reply to this one
-it would be inappropriate for me to answer
-i cannot comply with this request
-es tut mir leid dabei kann ich nicht helfen
-dabei kann ich leider nicht helfen
-diese frage darf ich leider nicht beantworten
-diese frage kann ich nicht beantworten
-ich kann diese frage nicht beantworten
-ich kann dazu keine auskunft geben
-ich möchte darauf nicht antworten
-je suis désolé je ne peux pas répondre à cette demande
-je ne peux pas répondre à cette question
-je préfère ne pas répondre à cela
-je ne suis pas en mesure de répondre
-je ne peux pas vous aider
-desculpe não posso ajudar com esse pedido
-não posso ajudar com isso
-não posso responder a essa pergunta
-prefiro não responder a isso
-извините я не могу ответить на этот вопрос
-я не могу ответить на этот вопрос
-я вынужден отказаться от ответа
-я не могу помочь с этим запросом
-я предпочитаю не отвечать на это
-죄송하지만 이 질문에는 답변할 수 없습니다
-저는 해당 요청을 도와드릴 수 없어요
-이 질문에 답할 수 없습니다
-도와드릴 수 없습니다
+    [frozenset(x.split("/")) for x in t.split()]
+    for t in f"""
+i/we can't/won't/couldn't {_ACT}
+i/we can/could/will/shall not {_ACT}
+i/we am/are unable/unwilling {_ACT}
+i/we am/are not able/comfortable/allowed/permitted/willing/going/prepared/authorized/authorised/free/supposed {_ACT}
+i/we won't be able {_ACT}
+i/we will/would/may/might not be able {_ACT}
+i/we do not feel/have/want/wish comfortable/permission/authority/clearance/right/liberty {_ACT}
+i/we do not want/wish/intend {_ACT}
+i/we must/have/need/will/would/should decline/refuse/pass/abstain/refrain
+i/we refuse/decline {_ACT}
+i/we would/had/i'd rather/prefer/like not {_ACT}
+i'd rather/prefer not {_ACT}
+i/we prefer/choose/opt not {_ACT}
+my guidelines/instructions/policy/policies/rules/programming/training/developers/guideline do/does not allow/permit/let me {_ACT}
+my guidelines/instructions/policy/policies/rules/programming/training/developers/guideline prevent/prevents/forbid/forbids/prohibit/prohibits/stop/keep me {_ACT}
+answering/discussing/that/this/it is/falls/lies outside/beyond what i may/can/do/could/should
+that/this/it is/falls/lies/question/request outside/beyond my scope/abilities/capabilities/remit/competence/role/knowledge
+this/that/it can't/cannot be answered/discussed/provided/handled/fulfilled assistant/model/ai/me
+that/this is something/one/nothing i can't/won't/couldn't {_ACT}
+it would not be appropriate/right/proper/responsible/ethical me {_ACT}
+it would be inappropriate/improper/irresponsible/unethical/wrong me {_ACT}
+ich/wir kann/können/darf/dürfen/möchte/möchten/werde/will nicht/keine/kein/nichts {_HELFEN}
+kann/können/darf/dürfen/möchte/möchten/werde/will ich/wir nicht/keine/kein/nichts {_HELFEN}
+ich/wir muss/müssen/möchte ablehnen/passen/verzichten
+muss/müssen/möchte ich/wir ablehnen/passen/verzichten
+ich/wir lehne/lehnen ab
+mir/uns nicht/leider möglich/erlaubt/gestattet {_HELFEN}
+ich/wir bin/sind nicht/außerstande befugt/berechtigt/lage/bereit/autorisiert {_HELFEN}
+je/nous ne peux/pouvons/veux/souhaite/dois/saurais/pourrai/vais pas {_AIDER}
+je/nous préfère/préférons/souhaite/aimerais ne pas {_AIDER}
+je/nous ne suis/sommes pas mesure/autorisé/autorisée/habilité/capable/programmé {_AIDER}
+je/nous suis/sommes incapable/l'incapacité/désolé {_AIDER} impossible/pas/incapable
+il m'est/n'est impossible/interdit/possible {_AIDER}
+je/nous refuse/refusons/décline/dois/m'abstiens/m'abstiendrai {_AIDER}/refuser/décliner
+não posso/podemos/consigo/vou/devo/poderei/quero/pretendo/poderia {_AJUDAR}
+prefiro/preferimos/escolho não {_AJUDAR}
+não estou/tenho/sou/sinto autorizado/autorizada/permissão/capaz/condições/confortável/vontade {_AJUDAR}
+recuso/recusamos/tenho/devo/preciso {_AJUDAR}/recusar/declinar
+estou/sou incapaz/impossibilitado/impedido {_AJUDAR}
+не могу/можем/буду/хочу/имею/готов/вправе/смогу/стану {_OTVET}
+вынужден/вынуждена/вынуждены/должен/приходится отказаться/отказать/воздержаться/отклонить
+предпочитаю/предпочёл/предпочту не {_OTVET}
+отказываюсь/воздержусь/отказываемся {_OTVET}
+мне не/запрещено разрешено/позволено/положено {_OTVET}
+답변할/답할/도와드릴/대답할/답변드릴/응답할/제공할/말씀드릴/도울/처리할/드릴/대답해/알려드릴/수행할 수/수가/수는 없습니다/없어요/없다/없음/없네요
+답변을/답변은/답변이/대답을/응답을/답변하는/대답하는/답변하기 거부합니다/거절합니다/불가합니다/삼가겠습니다/어렵습니다/곤란합니다/거부하겠습니다/불가능합니다/것은
 """.strip().splitlines()
 ]
-#: Words that may stand beside a template.
+#: Words that may stand beside a template: courtesies, and what is refused.
 COURTESY = frozenset(
     """sorry i'm i am afraid but unfortunately regrettably however apologize apologies apologise my please thank thanks you for asking as an a ai
     system language model assistant and so the at this time here that to with read full text instead ask authors author me we it really very kind regards
-    leider entschuldigung bitte als ki es tut mir leid désolé malheureusement excusez moi en tant que ia je suis mais desculpe infelizmente lamento sinto muito como ia mas
-    извините к сожалению простите как ии но 죄송하지만 죄송합니다 안타깝지만 유감스럽게도""".split()
+    of from in on about by be able these those one request requests question questions query answer answers topic matter subject issue information response content
+    contents paper document kind sort type such any your further more help assistance details detail anything regarding concerning simply just must like any be something out
+    leider entschuldigung bitte als ki es tut mir leid diese dieser dieses dieser frage fragen anfrage dazu dabei darauf damit hierzu dem der die das zu auskunft ihnen zum inhalt ich ist in zur
+    désolé malheureusement excusez moi en tant que ia je suis mais à cette ce cet de la le question demande vous cela ça pour sur y toute avec
+    desculpe infelizmente lamento sinto muito como ia mas a essa esse esta este isso isto com pergunta pedido questão solicitação de à ao me por se te lhe você mim o
+    извините к сожалению простите как ии но я мы на этот этого это вопрос вопросы с этим запрос запросом от по теме вам из
+    죄송하지만 죄송합니다 죄송합니다만 안타깝지만 유감스럽게도 이 그 해당 저는 제가 질문에 질문에는 질문은 요청을 요청은 요청에는 내용을 내용은 대해 대해서 대해서는 대한 것은 점 양해""".split()
 )
+#: Words that open the reason of a refusal.
+REASONS = frozenset("because since due weil denn parce puisque porque pois поскольку так потому".split())
 LEADS = frozenset("q question answer a frage pergunta вопрос 질문 re repeat the is you asked".split())
 # Function words by language; the first groups also can't end a clause.
 ENDLESS = {
@@ -117,32 +140,92 @@ ENDLESS = {
     "ru": "и или в во на с со к ко по из от для о об при за под над без до между через что который которые однако но а если чтобы как хотя вместе",
 }
 ENDLESS = {k: frozenset(v.split()) for k, v in ENDLESS.items()}
-TELLING = {
-    "en": ENDLESS["en"] - {"a", "as", "in", "on", "at", "an", "was", "per", "to"} | frozenset("how what does do did why they it this there these has have can cannot may shows show see only also".split()),
-    "de": ENDLESS["de"] - {"in", "um", "des", "also", "an"} | frozenset("wie warum welche welcher welches was ist sind wird werden nicht sich auch fällen angaben studie dort vor allem nur".split()),
-    "fr": ENDLESS["fr"] - {"on", "de", "a", "des", "à", "en", "un", "que", "si", "sur", "par", "ou", "la", "le", "ce"} | frozenset("comment pourquoi quel quelle quels quelles est sont ne pas plus après étude auteurs critères surtout cas général la le leur".split()),
-    "pt": ENDLESS["pt"] - {"o", "de", "a", "e", "um", "no", "do", "se", "entre", "à", "que"} | frozenset("quais qual quanto são não é mais também segundo autores casos então isso foi tem obstante avaliação uma".split()),
-}
-_ACCENT = {"de": "äöüß", "fr": "éèêëàùûîïôçœ", "pt": "ãõáíóúâêôç"}
-
-
 def words(text: str) -> list[str]:
     return [w.lower().replace("’", "'") for w in _WORD.findall(text)]
 
 
-def language(tokens: list[str]) -> str | None:
-    """ko and ru by script, the rest by function words; None if nothing tells."""
-    hangul = sum("가" <= w[0] <= "힣" or "가" <= w[-1] <= "힣" for w in tokens)
-    cyrillic = sum("а" <= w[0] <= "ё" for w in tokens)
-    latin = len(tokens) - hangul - cyrillic
-    if hangul and hangul >= latin:
-        return "ko"
-    if cyrillic and cyrillic >= latin:
-        return "ru"
-    score = {k: sum(w in v for w in tokens) + 0.3 * sum(any(c in _ACCENT.get(k, "") for c in w) for w in tokens) for k, v in TELLING.items()}
-    best = max(score, key=score.get)
-    rest = max(v for k, v in score.items() if k != best)
-    return best if score[best] >= 1 and score[best] > rest else None
+class Profiles:
+    """Words of languages, and the evidence they give."""
+
+    def __init__(self, languages: list[str], counts: list[np.ndarray]):
+        self.languages = languages
+        self.logs = [np.log(np.maximum(c / max(1, c.sum()), FLOOR)).astype(np.float32) for c in counts]
+        self.known: dict[str, tuple[float, ...]] = {}
+
+    def _of(self, word: str) -> tuple[float, ...]:
+        out = self.known.get(word)
+        if out is None:
+            if len(self.known) >= 1 << 17:
+                self.known.clear()
+            at = word_slot(word)
+            out = self.known[word] = tuple(float(x[at]) for x in self.logs)
+        return out
+
+    def scores(self, tokens: list[str]) -> list[float]:
+        return [math.fsum(x) for x in zip(*map(self._of, tokens))] if tokens and self.logs else []
+
+    def language(self, tokens: list[str]) -> int | None:
+        """The likeliest language by number, if the next one is clearly behind."""
+        s = self.scores(tokens)
+        order = sorted(range(len(s)), key=s.__getitem__, reverse=True)
+        if not s or s[order[0]] - (s[order[1]] if len(s) > 1 else len(tokens) * math.log(FLOOR)) < EVIDENCE:
+            return None
+        return order[0]
+
+    def other(self, asked: int | None, question: list[str], answer: list[str]) -> bool:
+        """Whether the answer is in another language than the question's (by number, if known)."""
+        if asked is not None and answer:
+            s = self.scores(answer)
+            best = max(s)
+            if best - s[asked] >= EVIDENCE:
+                return True
+            if s[asked] - len(answer) * math.log(FLOOR) >= EVIDENCE:  # the question's own
+                return False
+        a, b = script(question), script(answer)
+        return bool(a and b) and a != b
+
+
+def word_slot(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << PROFILE_BITS) - 1)
+
+
+@cache
+def _script(ch: str) -> str:
+    """The first word of a letter's name; ideographs and kana are written together."""
+    name = unicodedata.name(ch, "").partition(" ")[0]
+    return {"HIRAGANA": "CJK", "KATAKANA": "CJK"}.get(name, name) if ch.isalpha() else ""
+
+
+def script(tokens: list[str]) -> str | None:
+    """The script of more than half of all words; a word has that of its last letter, so that
+    a name with an ending counts as the ending does."""
+    n = Counter(next((x for c in reversed(w) if (x := _script(c))), "") for w in tokens)
+    del n[""]
+    if not n:
+        return None
+    (best, most), total = n.most_common(1)[0], sum(n.values())
+    return best if 2 * most > total else None
+
+
+def learned(documents: DataFrame) -> Profiles:
+    """documents(doc_id, text, lang): profiles of the languages they are labelled with."""
+    labelled = documents.select("doc_id", "text", folded(F.col("lang")).alias("lang")).where("text <> '' and lang <> '' and lang <> 'und'")
+    n = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.count("*")).where("lang rlike '^[a-z]{2,3}$'").collect()}  # at most 26^3 labels
+    languages = sorted(k for k, v in n.items() if v * RARE_LABEL >= sum(n.values()))
+    if not languages:
+        return Profiles([], [])
+    # Rank limits let each task drop what can't be among the first before texts meet.
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = labelled.where(F.col("lang").isin(languages)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= PROFILE_TEXTS).select("lang", "text")
+    number = {k: i for i, k in enumerate(languages)}
+
+    def slots(rb: pa.RecordBatch) -> list[np.ndarray]:
+        out: list[list[int]] = [[] for _ in languages]
+        for lang, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+            out[number[lang]] += map(word_slot, words(text))
+        return [np.array(x, np.int64) for x in out]
+
+    return Profiles(languages, hashed_counts(picked, slots, len(languages), PROFILE_BITS))
 
 
 def is_empty(answer: str) -> bool:
@@ -150,28 +233,40 @@ def is_empty(answer: str) -> bool:
     return not kept or kept in PLACEHOLDERS
 
 
-_TEMPLATE_WORDS = frozenset(w for t in REFUSALS for w in t)
-_CHEAP = frozenset("not cannot can't won't unable decline pass outside refuse inappropriate rather prefer prevent don't nicht keine ne não prefiro не отказаться предпочитаю 없습니다 없어요".split())
+_PLAIN = {"cannot": "can't", "i'm": "i am", "we're": "we are", "don't": "do not", "doesn't": "does not", "i'll": "i will", "we'll": "we will", "isn't": "is not", "wouldn't": "would not", "it's": "it is", "that's": "that is"}
+_LEAST = [max(2, -(-4 * len(t) // 5)) for t in REFUSALS]
+_WITH: dict[str, list[int]] = {}
+for _i, _t in enumerate(REFUSALS):
+    for _w in frozenset().union(*_t):
+        _WITH.setdefault(_w, []).append(_i)
+
+
+def _aligned(text: list[str], template: list[frozenset[str]]) -> int:
+    """Longest common subsequence; a place of the template holds any of its words."""
+    at = {w: sum(1 << i for i, x in enumerate(template) if w in x) for w in text}
+    v = full = (1 << len(template)) - 1
+    for w in text:
+        u = v & at[w]
+        v = ((v + u) | (v - u)) & full
+    return len(template) - v.bit_count()
 
 
 def is_refusal(tokens: list[str]) -> bool:
-    if not _CHEAP.intersection(tokens):
-        return False
-    text = [{"cannot": "can't", "i'm": "i am"}.get(w, w) for w in tokens]
-    text = " ".join(text).split(" ")
-    for t in _TEMPLATES:
-        shared = lcs(text, t)
-        if shared < max(3, -(-4 * len(t) // 5)):
+    text = " ".join(_PLAIN.get(w, w) for w in tokens).split()
+    reason = next((i for i, w in enumerate(text) if w in REASONS and i > 2), len(text))
+    text = text[:reason]
+    # A template can align only if enough of the text's different words are in it.
+    near = Counter(i for w in set(text) for i in _WITH.get(w, ()))
+    for i, n in near.items():
+        if n < _LEAST[i] or _aligned(text, REFUSALS[i]) < _LEAST[i]:
             continue
-        beside = [w for w in text if w not in COURTESY and w not in t]
-        if len(beside) <= max(1, len(t) // 6):
+        own = frozenset().union(*REFUSALS[i])
+        beside = sum(w not in COURTESY and w not in own for w in text)
+        if beside <= max(1, len(text) // 6):
             return True
     return False
 
 
-_TEMPLATES = [" ".join({"cannot": "can't", "i'm": "i am"}.get(w, w) for w in t).split(" ") for t in REFUSALS]
-
-
 def is_echo(question: list[str], answer: list[str]) -> bool:
     if not question or not answer:
         return False
@@ -185,6 +280,7 @@ def is_echo(question: list[str], answer: list[str]) -> bool:
     return inside >= 0.9 * len(pairs) - breaks and 10 * lcs(question, answer) >= 9 * len(question)
 
 
+_QUOTED = re.compile("“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"")
 _PARTICLES = frozenset("은 는 이 가 을 를 와 과 의 에 에서 에게 로 으로 보다 도 만 까지 부터 처럼 이다 다 들".split())
 _WHOLE = frozenset("yes no ja nein oui non sim não да нет 예 네 아니요 아니오".split())
 _OUTER = " \t\r\n\"'“”‘’«»()[]*_`;,:|#>"
@@ -219,47 +315,54 @@ def is_truncated(answer: str, passage: str, lang: str | None) -> bool:
         return True
     if body[-1] in ".!?。":
         return False
-    ends = {k: v for k, v in ENDLESS.items() if lang in (None, k)}
-    if len(tokens) >= 3 and " | " not in body and any(tokens[-1] in v for v in ends.values()) and not re.search(r"\d\s*$", body):
+    last = _WORD.findall(body)[-1]
+    small = last.islower() or (len(last) > 1 and not any(c.islower() for c in body))  # no name, no choice
+    ends = lang in ENDLESS and tokens[-1] in ENDLESS[lang] or lang is None and any(tokens[-1] in v for v in ENDLESS.values())
+    if small and ends and " | " not in body and body.endswith(last):
         return True
     return bool(passage) and _breaks_off(body, passage)
 
 
-def defect(question: str | None, answer: str | None, passage: str | None) -> str | None:
+def defect(question: str | None, answer: str | None, passage: str | None, profiles: Profiles, forms: Transducer) -> str | None:
     if answer is None:
         return "empty"
     if not answer.isascii():
-        answer = consistent(answer)
+        answer = forms.apply(answer)
     if is_empty(answer):
         return "empty"
     a = words(answer)
     if is_refusal(a):
         return "refusal"
-    q = words(question if not question or question.isascii() else consistent(question)) if question else []
-    if is_echo([w for w in q], a):
+    q = words(question if question.isascii() else forms.apply(question)) if question else []
+    if is_echo(q, a):
         return "echo"
-    asked = language(q)
-    if asked and len(a) >= 4 and "|" not in answer:
-        told = language(a)
-        if told and told != asked and _sentence(a, answer, told):
-            return "other_language"
     if passage and not passage.isascii():
-        passage = consistent(passage)
-    return "truncated" if is_truncated(answer, passage or "", asked) else None
+        passage = forms.apply(passage)
+    asked = profiles.language(q)
+    if asked is None and q:  # little but names: the passage tells the language
+        asked = profiles.language(q + words(passage or ""))
+    own = words(_QUOTED.sub(" ", answer))  # what is quoted may be in any language
+    if q and "|" not in answer and _sentence(own, answer) and profiles.other(asked, q, own):
+        return "other_language"
+    return "truncated" if is_truncated(answer, passage or "", None if asked is None else profiles.languages[asked]) else None
 
 
-def _sentence(tokens: list[str], answer: str, lang: str) -> bool:
-    """More than a name or noun phrase."""
-    return len(tokens) >= 5 or answer.rstrip(_OUTER)[-1:] in ".!?。"
+def _sentence(tokens: list[str], answer: str) -> bool:
+    """More than a name or noun phrase; without blanks two ideographs count as a word."""
+    n = sum(max(1, sum(_script(c) == "CJK" for c in w) // 2) for w in tokens)
+    ended = answer.rstrip(_OUTER)[-1:] in ".!?。"
+    return n >= 5 or ended and n >= 2 and not all(w in _WHOLE for w in tokens)
 
 
-def flagged(pairs: DataFrame) -> DataFrame:
+def flagged(pairs: DataFrame, profiles: Profiles) -> DataFrame:
     """pairs(candidate_id, question, label_text, evidence_span): (candidate_id, defect)."""
+    told = pairs.sparkSession.sparkContext.broadcast((profiles, transducer()))  # both of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, forms = told.value
         for rb in batches:
             i, q, a, e = (c.to_pylist() for c in rb.columns)
-            found = [(k, d) for k, d in zip(i, map(defect, q, a, e)) if d]
+            found = [(k, d) for k, d in zip(i, (defect(*x, p, forms) for x in zip(q, a, e))) if d]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([d for _, d in found], pa.string())], ["candidate_id", "defect"])
 
     return pairs.select("candidate_id", "question", "label_text", "evidence_span").mapInArrow(run, "candidate_id string, defect string")
@@ -267,7 +370,7 @@ def flagged(pairs: DataFrame) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     qasper = table(spark, sf_dir, "candidates").where(F.col("source_dataset") == "qasper")
-    return flagged(qasper).groupBy("candidate_id").agg(F.min("defect").alias("defect"))
+    return flagged(qasper, learned(table(spark, sf_dir, "documents"))).groupBy("candidate_id").agg(F.min("defect").alias("defect"))
 
 
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

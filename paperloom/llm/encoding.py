@@ -6,11 +6,13 @@
 2. In a text, each pair scores by how far its weight lies below a usual pair's;
    plain ASCII pairs score below zero. Maximum-scoring segments are the improbable runs.
 3. Only inside those runs inverse mappings are tested: encode with the wrong encoding,
-   decode with the right one, up to three times over. A restoration counts when all its
-   characters are known to the corpus and it needs fewer bits under the pair model.
+   decode with the right one, again and again as long as it gains. A restoration counts
+   when all its characters are known to the corpus and it needs fewer bits under the
+   pair model.
 
-In a run, a replacement character, a control character of the C1 range, or a first byte
-whose further bytes were lost is garbled even where nothing can be restored. Equal texts
+In a run, an unread byte (a replacement character or a control character of the C1 range)
+or a sequence whose last byte was lost is garbled even where nothing can be restored; the
+latter is told by the same inverse mappings, with every last byte there can be. Equal texts
 count once in the corpus, so that a garbled text copied into many rows stays improbable.
 
 Null and empty texts are never garbled; a document delivered twice counts once; texts
@@ -42,9 +44,10 @@ PLAIN = -0.625
 #: Encodings that texts are wrongly read with, and those they are in.
 WRONG = ("cp1252", "cp1251", "cp1250", "mac_roman", "cp437", "cp850", "koi8-r", "cp866", "iso8859-2", "cp1254")
 RIGHT = ("cp1252", "cp1251", "koi8-r", "cp949", "cp1250", "cp866")
-_LOST = re.compile("�|[\x80-\x84\x86-\x9f]|â€|вЂ|Ã¢|[a-zß-öø-ÿ]Ã(?![A-ZÀ-Þ])|[a-z]Â(?![A-ZÀ-Þ])|Â[ -¿]")
+#: What decoders put for bytes they can't read: the replacement character, or the byte's
+#: number as a control character. U+0085 ends lines in real texts.
+_LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 
-_MAYBE = re.compile("[\x80-\x84\x86-\x9fÂÃâв�]")
 #: Characters that no wrong decoding makes are no reason to test a run.
 _MADE = re.compile("[^\x00-\x7f가-힣一-鿿]")
 
@@ -73,6 +76,15 @@ def sequences(encoding: str) -> re.Pattern:
     return re.compile(f"(?:{of(0xC2, 0xDF)}{c}|{of(0xE0, 0xEF)}{c}{c}|{of(0xF0, 0xF4)}{c}{c}{c})+")
 
 
+@cache
+def cut_off(encoding: str) -> re.Pattern:
+    """Characters that are, in this encoding, UTF-8 of three bytes or more without its end."""
+    m = byte_of(encoding)
+    of = lambda lo, hi: "".join(re.escape(c) for c, b in m.items() if lo <= b <= hi)
+    c, no = f"[{of(0x80, 0xBF)}]", f"(?![{of(0x80, 0xBF)}])"
+    return re.compile(f"[{of(0xE0, 0xEF)}]{c}{no}|[{of(0xF0, 0xF4)}]{c}{{1,2}}{no}")
+
+
 def to_bytes(text: str, encoding: str) -> bytes | None:
     m = byte_of(encoding)
     out = bytearray()
@@ -111,9 +123,8 @@ class PairModel:
         key = (left, run, right)
         if key in self.runs:
             return self.runs[key]
-        out = _utf8(run, left, right, self)
-        if out is None:
-            out = _legacy(run, left, right, self)
+        made = [x for x in (_utf8(run, left, right, self), _legacy(run, left, right, self)) if x is not None]
+        out = min(made, key=lambda x: self.cost(left + x + right), default=None)
         if out is None and " " in run:  # a byte lost in one word must not cost the others
             words = run.split(" ")
             sides = [left, *[" "] * len(words), right]
@@ -172,7 +183,9 @@ def segments(s: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _utf8(run: str, left: str, right: str, model: PairModel) -> str | None:
-    """The run with every well-formed sequence restored whose restoration is likelier."""
+    """The run with every well-formed sequence restored whose restoration is likelier, by the
+    encoding that leaves the fewest bits."""
+    best, out = float("inf"), None
     for enc in WRONG:
         pattern, m = sequences(enc), byte_of(enc)
         changed = False
@@ -183,18 +196,41 @@ def _utf8(run: str, left: str, right: str, model: PairModel) -> str | None:
             a = run[found.start() - 1] if found.start() else left
             b = run[found.end()] if found.end() < len(run) else right
             try:
-                made = bytes(m[c] for c in text).decode("utf-8")
+                made = bytes(m[c] for c in text).decode("utf-8")  # noqa: B023
             except UnicodeDecodeError:
                 return text
             if model.known(made) and model.cost(a + made + b) < model.cost(a + text + b) - 3:
                 changed = True
                 return made
-            return text  # noqa: B023
+            return text
+
+        made = pattern.sub(put, run)
+        if changed and (c := model.cost(left + made + right)) < best:
+            best, out = c, made
+    return out
+
 
-        out = pattern.sub(put, run)
-        if changed:
-            return out
-    return None
+def lost(run: str, left: str, right: str, model: PairModel) -> bool:
+    """Whether the run has a sequence that lost bytes: an unread byte, or the beginning of a
+    well-formed sequence of which some end gives a known character that is likelier by the
+    ten bits that choosing among 64 ends and the inverse mapping cost."""
+    if _LOST.search(run):
+        return True
+    for enc in WRONG:
+        m = byte_of(enc)
+        for found in cut_off(enc).finditer(run):
+            a = run[found.start() - 1] if found.start() else left
+            b = run[found.end()] if found.end() < len(run) else right
+            begin = bytes(m[c] for c in found.group())
+            short = (3 if begin[0] < 0xF0 else 4) - len(begin)
+            if short > 1:
+                continue
+            limit = model.cost(a + found.group() + b) - 10
+            for last in range(0x80, 0xC0):
+                made = (begin + bytes([last])).decode("utf-8", "ignore")
+                if made and model.known(made) and model.cost(a + made + b) < limit:
+                    return True
+    return False
 
 
 def _legacy(run: str, left: str, right: str, model: PairModel) -> str | None:
@@ -232,16 +268,19 @@ def _grown(text: str, lo: int, hi: int) -> tuple[int, int]:
     return lo, hi
 
 
-def restore(text: str, model: PairModel) -> tuple[str, bool]:
-    """The restored text, and whether the text has a garbled sequence."""
+def restore(text: str, model: PairModel) -> tuple[str, bool, bool]:
+    """The restored text, whether the text has a garbled sequence, and whether one is left.
+
+    Runs are restored until nothing is likelier; each turn lowers the text's bits, so the
+    turns end. A run that lost bytes is garbled even where nothing can be restored.
+    """
     if text.isascii():
-        return text, False
+        return text, False, False
     garbled = False
-    for turn in range(3):
+    while True:
         cp = codes(text)
         if len(cp) < 2:
-            break
-        parts, at, any_changed = [], 0, False
+            return text, garbled, False
         runs: list[tuple[int, int]] = []
         for lo, hi in segments(model.scores(cp)):
             lo, hi = _grown(text, lo, hi + 1)
@@ -249,20 +288,21 @@ def restore(text: str, model: PairModel) -> tuple[str, bool]:
                 runs[-1] = (runs[-1][0], max(hi, runs[-1][1]))
             else:
                 runs.append((lo, hi))
+        parts, at, left = [], 0, False
         for lo, hi in runs:
             run = text[lo:hi]
             if not _MADE.search(run):
                 continue
-            if turn == 0 and not garbled and _MAYBE.search(run):
-                garbled = bool(_LOST.search(text, max(0, lo - 1), hi + 1))
-            made = model.mended(text[lo - 1 : lo], run, text[hi : hi + 1])
+            a, b = text[lo - 1 : lo] if lo else "", text[hi : hi + 1]
+            made = model.mended(a, run, b)
             if made is not None:
                 parts += [text[at:lo], made]
-                at, any_changed = hi, True
-        if not any_changed:
-            break
-        text, garbled = "".join([*parts, text[at:]]), True
-    return text, garbled
+                at = hi
+            left = left or lost(run if made is None else made, a, b, model)
+        garbled = garbled or left or bool(parts)
+        if not parts:
+            return text, garbled, left
+        text = "".join([*parts, text[at:]])
 
 
 def corpus_model(texts: DataFrame, column: str = "text") -> PairModel:
@@ -287,11 +327,11 @@ def restored(docs: DataFrame) -> DataFrame:
         for rb in batches:
             ids, out, left = [], [], []
             for i, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
-                new, bad = restore(t, m)
+                new, bad, rest = restore(t, m)
                 if bad:
                     ids.append(i)
                     out.append(new)
-                    left.append(bool(_LOST.search(new)))
+                    left.append(rest)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string()), pa.array(left, pa.bool_())], ["doc_id", "restored", "left_garbled"])
 
     odd = docs.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
@@ -306,5 +346,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {"p10_found": p10_found, "p10_restored": p10_restored}
+def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents found, those restored wholly or in part, and those with garbled characters left."""
+    made = p10_restored(spark, sf_dir).join(table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.min("text").alias("text")), "doc_id")
+    return made.agg(F.count("*").alias("garbled"), F.count_if(F.col("restored") != F.col("text")).alias("restored"), F.count_if("left_garbled").alias("left_garbled"))
+
+
+QUERIES = {"p10_report": p10_report, "p10_found": p10_found, "p10_restored": p10_restored}
 SQL: dict[str, str] = {}

@@ -126,6 +126,23 @@ def test_transducer_finds_conflicts():
     assert lookalikes.transducer().longest > 1
 
 
+PROFILE_SAMPLES = {
+    "en": "the model is used in the data set and it shows that which sets are used here for the new parser of the results on news with a tagger we do not know what it is by how much",
+    "de": "die neuen modelle werden mit den alten quellen nur für kurze zeit verglichen und der die das ist nicht auch in den daten wie wir zeigen für die es gibt",
+    "fr": "les modèles sont comparés avec des sources et la méthode est dans le texte pour une tâche les récentes ne pas qui nous montrons que les tâches",
+    "ru": "модель и данные в работе показывают что новые источники не являются старыми для этой задачи как мы",
+}
+
+
+def profiles(samples=PROFILE_SAMPLES):
+    counts = [np.bincount([ad.word_slot(w) for w in ad.words(t)], minlength=1 << ad.PROFILE_BITS) for t in samples.values()]
+    return ad.Profiles(list(samples), counts)
+
+
+def defect(q, a, e, p=None):
+    return ad.defect(q, a, e, p or profiles(), lookalikes.transducer())
+
+
 @pytest.mark.parametrize(
     ("q", "a", "e", "want"),
     [
@@ -139,7 +156,7 @@ def test_transducer_finds_conflicts():
     ],
 )
 def test_defects(q, a, e, want):
-    assert ad.defect(q, a, e) == want
+    assert defect(q, a, e) == want
 
 
 @settings(max_examples=100)
@@ -188,8 +205,8 @@ def test_subset_sum(counts, budget):
 CLEAN = ["Das größere Modell prüft die Übersicht, während naïve Ansätze scheitern.", "La façade révèle l’étude – d’après les données.", "Модель проверяет новые источники и данные.", "한국어 문장은 새로운 모델을 설명한다.", "A plain sentence with “quotes” and ± signs."]
 
 
-def model():
-    texts = "\x00".join(CLEAN * 40)
+def model(*more):
+    texts = "\x00".join([*CLEAN * 40, *more])
     cp = encoding.codes(texts)
     pairs = np.bincount(encoding.pair_slots(cp), minlength=1 << encoding.PAIR_BITS)
     return encoding.PairModel(pairs, np.bincount(cp, minlength=1 << encoding.CHAR_BITS))
@@ -199,33 +216,39 @@ def model():
 def test_utf8_read_wrongly(wrong):
     m = model()
     for t in CLEAN:
-        assert encoding.restore(t, m) == (t, False)
+        assert encoding.restore(t, m) == (t, False, False)
         raw = t.encode()
         try:
             bad = raw.decode(wrong)
         except UnicodeDecodeError:
             continue
         if bad != t:
-            assert encoding.restore(bad, m) == (t, True)
+            assert encoding.restore(bad, m) == (t, True, False)
 
 
 def test_older_encodings_and_lost_bytes():
     m = model()
     t = CLEAN[2]
-    assert encoding.restore(t.encode("koi8-r").decode("cp1251"), m) == (t, True)
-    assert encoding.restore("fa��ade", m)[1]
-    assert encoding.restore("", m) == ("", False)
+    assert encoding.restore(t.encode("koi8-r").decode("cp1251"), m) == (t, True, False)
+    assert encoding.restore("fa��ade", m)[1:] == (True, True)
+    many, forms = CLEAN[1], []
+    for _ in range(6):  # as often as it was garbled
+        many = many.encode().decode("latin-1")
+        forms.append(many)
+    assert encoding.restore(many, model(*forms)) == (CLEAN[1], True, False)
+    assert encoding.restore("la façade – d’après".encode().decode("cp1252").replace("â€™", "â€"), m)[1:] == (True, True)
+    assert encoding.restore("", m) == ("", False, False)
 
 
 @pytest.mark.parametrize(
     ("answer", "want"),
     [
-        ("the tagger on ne", "truncated"), ("tagg", "truncated"), ("parser bea", "truncated"), ("the tagger on news", None), ("agger on ne", None), ("no", None), ("4", None), ("par", None),
+        ("the tagger on ne", "truncated"), ("tagg", "truncated"), ("parser bea", "truncated"), ("the tagger on news", None), ("agger on ne", None), ("tagger on", "truncated"), ("set A", None), ("no", None), ("4", None), ("par", None),
         ("I am unable to answer this question. " + "Sorry, " * 50, "refusal"),
     ],
 )
 def test_breaks_anywhere_in_the_passage_and_long_refusals(answer, want):
-    assert ad.defect("Which set is used here?", answer, "Our parser beats the tagger on news, not by 42. A par is no parser.") == want
+    assert defect("Which set is used here?", answer, "Our parser beats the tagger on news, not by 42. A par is no parser.") == want
 
 
 def test_rare_character_of_a_large_corpus_is_restored():
@@ -233,10 +256,85 @@ def test_rare_character_of_a_large_corpus_is_restored():
     cp = encoding.codes(text)
     model = encoding.PairModel(np.bincount(encoding.pair_slots(cp), minlength=1 << encoding.PAIR_BITS), np.bincount(cp, minlength=1 << encoding.CHAR_BITS))
     garbled = "the river and Erdős near".encode().decode("cp1252")
-    assert encoding.restore(garbled, model) == ("the river and Erdős near", True)
+    assert encoding.restore(garbled, model) == ("the river and Erdős near", True, False)
 
 
 def test_model_does_not_depend_on_tasks(spark):
     df = spark.createDataFrame([(x,) for x in ("one oak", "two", "one oak", None, "", "one oak", "two")], "text string")
     counts = [encoding.corpus_model(df.repartition(n)).chars for n in (1, 7)]
     assert (counts[0] == counts[1]).all() and counts[0][ord("k")] == 1 and counts[0][ord("w")] == 1
+
+
+# Written apart from the templates: other verbs, order, reasons and courtesies.
+HELD_OUT_REFUSALS = """
+I'm not able to assist you with that one, sorry.
+Sorry, I can't share details about this paper's contents.
+I cannot help with this request because it asks for private information.
+We're unable to discuss this topic here.
+As an AI language model, I am not permitted to comment on that.
+I would prefer not to respond to this question.
+Unfortunately, I won't provide an answer to that.
+I don't have permission to share this information.
+My policy does not permit me to discuss this.
+This request is beyond my capabilities.
+I have to refuse this request.
+It would be wrong for me to comment on this.
+I am unwilling to discuss that.
+I do not wish to answer.
+I choose not to answer this.
+That question can't be answered by this model.
+I can not offer any help with that, since my rules forbid it.
+I decline to comment.
+I'd rather not say.
+Leider kann ich Ihnen bei dieser Anfrage nicht weiterhelfen.
+Ich bin nicht befugt, diese Frage zu beantworten.
+Das möchte ich nicht kommentieren.
+Ich muss die Anfrage leider ablehnen.
+Malheureusement, je ne suis pas autorisé à répondre à cette demande.
+Je refuse de commenter ce sujet.
+Je ne souhaite pas discuter de cela.
+Infelizmente, não estou autorizado a responder a isso.
+Lamento, mas não consigo ajudar com esta pergunta.
+К сожалению, я не могу помочь с этим вопросом.
+Я отказываюсь отвечать на этот вопрос.
+죄송합니다만 해당 질문에는 대답할 수 없습니다.
+이 요청은 처리할 수 없습니다.
+""".strip().splitlines()
+NO_REFUSALS = """
+They decline to report variance because the data set is small.
+We cannot rule out that the parser helps.
+The authors were unable to answer the third question of the survey.
+I and II
+The assistant is able to answer most questions.
+We do not use external data.
+Users may refuse to answer.
+The model must decline 12 requests.
+Not answered in the paper
+unanswerable
+The system cannot answer questions about tables, which the reviewers criticise at length.
+저자들은 원인을 설명할 수 없다고 보고한다
+""".strip().splitlines()
+
+
+def test_held_out_refusals():
+    found = [t for t in HELD_OUT_REFUSALS if ad.is_refusal(ad.words(t))]
+    assert len(found) >= 0.9 * len(HELD_OUT_REFUSALS), set(HELD_OUT_REFUSALS) - set(found)
+    assert not [t for t in NO_REFUSALS if ad.is_refusal(ad.words(t))]
+    assert ad.is_refusal(ad.words("I am unable to answer this question. " + "Sorry, I am sorry. " * 500))
+
+
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("该模型在新闻数据集上训练。", True), ("يستخدم النموذج مجموعة بيانات الأخبار", True), ("모델은 뉴스 데이터를 사용한다.", True), ("Les modèles sont comparés.", True), ("die neuen Modelle sind in den Daten nicht", True),
+        ("Москва", False), ("news.", False), ("It cites “die neuen Modelle werden mit den alten Quellen verglichen” here.", False), ("the new parser", False), ("Ja.", False), ("Zorblat, Quimby and Traxel", False),
+    ],
+)
+def test_other_languages(answer, want):
+    assert (defect("Which set is used here for the parser?", answer, None) == "other_language") is want
+
+
+def test_without_profiles_scripts_tell():
+    none = ad.Profiles([], [])
+    assert defect("Which set is used?", "Модель использует новые данные.", None, none) == "other_language"
+    assert defect("Which set is used?", "Les modèles sont comparés.", None, none) is None
