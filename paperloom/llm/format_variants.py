@@ -25,16 +25,20 @@ _SCAN = "kind string, key binary, a string, b string, n long"
 
 
 def alike_json(col: Column) -> Column:
-    """As :func:`alike`; a JSON object counts as the set of its name/value pairs."""
+    """As :func:`alike`; a JSON object counts as the set of its name/value pairs, and an object
+    within it too."""
     pairs = F.from_json(col, "map<string,string>")
-    one = F.transform(F.map_entries(pairs), lambda e: F.concat(alike(e["key"]), F.lit("="), alike(e["value"])))
+    nested = lambda v: F.when(F.ltrim(v).rlike("^[{\\[]"), F.coalesce(F.to_json(F.try_parse_json(v)), v)).otherwise(v)  # noqa: E731  (sorted by name)
+    one = F.transform(F.map_entries(pairs), lambda e: F.concat(alike(e["key"]), F.lit("="), alike(nested(e["value"]))))
     whole = F.concat(F.lit("{"), F.array_join(F.array_sort(one), "&"))
     return F.when(F.ltrim(col).startswith("{") & pairs.isNotNull(), whole).otherwise(alike(col))
 
 
 def canonical(df: DataFrame, id_col: str, exact: list[str], spelled: list[str], json: list[str]) -> DataFrame:
-    """``key``: the full canonical key in one string; ``id``."""
-    parts = [F.coalesce(F.col(c), F.lit("")) for c in exact]
+    """``key``: the full canonical key in one string; ``id``. Columns compared as they are come
+    with their length, so that no value can look like two."""
+    whole = [F.coalesce(F.col(c), F.lit("")) for c in exact]
+    parts = [F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in whole]
     parts += [alike_json(F.col(c)) if c in json else alike(F.col(c)) for c in spelled]
     return df.select(F.concat_ws("\x1f", *parts).alias("key"), F.col(id_col).alias("id")).where("id is not null")
 
@@ -156,4 +160,14 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_records": p1_records}
-SQL: dict[str, str] = {}
+_ALIKE = r"regexp_replace(upper(coalesce({}, '')), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_PAIR = r"regexp_replace(upper({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_PAIRS = f"""case when starts_with(ltrim(label_text), '{{' ) and json_valid(label_text) then '{{' || array_to_string(list_sort(list_transform(json_keys(label_text),
+lambda x: {_PAIR.format('x')} || '=' || coalesce({_PAIR.format("json_extract_string(label_text, '$.\"' || x || '\"')")}, ''))), '&') else {_ALIKE.format('label_text')} end"""
+_GROUPS = f"""with k as (select distinct candidate_id, coalesce(source_dataset, '') as ds, {_ALIKE.format('chunk_id')} as ck, {_PAIRS} as lab, {_ALIKE.format('evidence_span')} as ev
+  from candidates where candidate_id is not null),
+g as (select *, min(candidate_id) over (partition by ds, ck, lab, ev) as least, count(*) over (partition by ds, ck, lab, ev) as n from k)"""
+SQL: dict[str, str] = {
+    "p1_found": _GROUPS + " select least as candidate_id_a, candidate_id as candidate_id_b from g where candidate_id <> least",
+    "p1_records": _GROUPS + " select least as candidate_id, n as copies from g where candidate_id = least",
+}

