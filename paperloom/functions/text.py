@@ -14,8 +14,13 @@ ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
 BLANK = r"\x09\x1f\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
 
 
+#: The same characters as texts, for trimming without regular expressions.
+BLANKS = "\t\x1f \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+SPACES = BLANKS + "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def norm(c: Column) -> Column:
@@ -32,6 +37,11 @@ def lines(c: Column) -> Column:
     return F.split(F.regexp_replace(F.coalesce(c, F.lit("")), f"(?:{LINE_END})\\z", ""), LINE_END)
 
 
+def plain_ends(c: Column) -> Column:
+    """Every line end as a line feed; texts with no other are not copied."""
+    return F.when(c.rlike(f"[{ENDS.removeprefix(chr(92) + 'n')}]"), F.regexp_replace(c, LINE_END, "\n")).otherwise(c)
+
+
 def title_case(c: Column) -> Column:
     """A capital after every non-letter, small letters after letters."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, lines, strip
+from ..functions.text import lines, strip
 
 # Markers with their id prefix and item type.
 MARKERS = {
@@ -30,7 +30,12 @@ TYPES = ["Claim", "Method", "Experiment", "Limitation", "Concept"]
 
 def content_lines(text: Column) -> Column:
     """Lines with anything on them, without bullets and blanks at both ends."""
-    return F.transform(F.filter(lines(text), lambda x: x.rlike(f"[^{SPACE}]")), lambda x: F.regexp_replace(x, "^[-* \t]+|[-* \t]+$", ""))
+    return F.transform(F.filter(lines(text), lambda x: strip(x) != ""), bare)
+
+
+def bare(line: Column) -> Column:
+    """A line without bullets and blanks at both ends."""
+    return F.btrim(line, F.lit("-* \t"))
 
 
 def marker(line: Column) -> Column:
@@ -48,7 +53,8 @@ def _lookup(c: Column, part: int) -> Column:
 
 def marked_items(sections: DataFrame) -> DataFrame:
     """An item for each line of the form ``Marker: value``; an empty value counts."""
-    rows = sections.select("doc_idx", "paper_id", "section_idx", F.col("title").alias("section"), "page", F.posexplode(F.filter(content_lines(F.col("text")), lambda x: x.contains(":"))).alias("line_idx", "line"))
+    rows = sections.where(F.col("text").contains(":")).select("doc_idx", "paper_id", "section_idx", F.col("title").alias("section"), "page", F.posexplode(lines(F.col("text"))).alias("line_idx", "line"))
+    rows = rows.where(F.col("line").contains(":")).withColumn("line", bare(F.col("line")))
     rows = rows.withColumn("marker", marker(F.col("line"))).where("marker is not null")
     rows = rows.select("*", _lookup(F.col("marker"), 0).alias("prefix"), _lookup(F.col("marker"), 1).alias("item_type"))
     n = F.row_number().over(Window.partitionBy("doc_idx", "paper_id", "item_type").orderBy("section_idx", "line_idx"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, ENDS, LINE_END, SPACE, lines, strip, title_case
+from ..functions.text import BLANK, BLANKS, ENDS, SPACE, lines, plain_ends, strip, title_case
 
 # Headings of unmarked documents, in two languages.
 HEADINGS = [
@@ -42,25 +42,21 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     section; sections without text are dropped; a document left without any is one
     section of its own.
 
-    A text is cut before its heading lines by one regular expression and stays one row
-    until the sections are exploded, so nothing is shuffled however many there are.
+    A text is cut before its heading lines by one regular expression and its sections are
+    exploded at once, so nothing is shuffled however many there are. Whether any section
+    will have text is told by the first line that is no heading.
     """
-    parts = F.split(F.coalesce("text", F.lit("")), f"(?:^|(?<=[{ENDS}]))(?=[{BLANK}]*#)")
-    heads = lambda p: p.rlike(f"^[{BLANK}]*#")
-    line = lambda p: F.regexp_extract(p, f"^[^{ENDS}]*", 0)
-    rest = lambda p: F.regexp_replace(p, f"^[^{ENDS}]*(?:{LINE_END})?", "")
-    rows = docs.select("doc_idx", "paper_id", "text", parts.alias("parts"))
-
-    def section(p: Column, i: Column) -> Column:
-        title = F.when(heads(p), F.coalesce(F.nullif(without_hashes(strip(line(p))), F.lit("")), F.lit("Document"))).otherwise("Document")
-        body = F.regexp_replace(strip(F.when(heads(p), rest(p)).otherwise(p)), LINE_END, "\n")
-        n = i + F.when(heads(F.get("parts", 0)), 1).otherwise(0)
-        return F.struct(n.alias("section_idx"), title.alias("title"), body.alias("text"))
-
-    rows = rows.withColumn("secs", F.filter(F.transform("parts", section), lambda x: x["text"] != ""))
-    whole = F.struct(F.lit(0).alias("section_idx"), F.lit("Document").alias("title"), strip(F.coalesce("text", F.lit(""))).alias("text"))
-    out = rows.select("doc_idx", "paper_id", F.explode(F.when(F.size("secs") > 0, F.col("secs")).otherwise(F.array(whole))).alias("s"))
-    return out.select("doc_idx", "paper_id", "s.section_idx", "s.title", "s.text", F.lit(None).cast("int").alias("page"))
+    text = F.coalesce("text", F.lit(""))
+    filled = text.rlike(f"(?:^|[{ENDS}])[{BLANK}]*[^#{SPACE}]")
+    parts = F.when(filled, F.split(text, f"(?:^|(?<=[{ENDS}]))(?=[{BLANK}]*#)")).otherwise(F.array(text))
+    starts = lambda c: F.ltrim(c, F.lit(BLANKS)).startswith("#")
+    rows = docs.select("doc_idx", "paper_id", filled.alias("filled"), starts(text).cast("int").alias("first"), F.posexplode(parts).alias("i", "part"))
+    rows = rows.withColumn("head", F.col("filled") & starts(F.col("part"))).withColumn("line", F.when(F.col("head"), F.regexp_extract("part", f"^[^{ENDS}]*", 0)))
+    title = F.when(F.col("head"), F.coalesce(F.nullif(without_hashes(strip(F.col("line"))), F.lit("")), F.lit("Document"))).otherwise("Document")
+    body = strip(F.when(F.col("head"), F.substring(F.col("part"), F.length("line") + 1, F.length("part"))).otherwise(F.col("part")))
+    out = rows.select("doc_idx", "paper_id", "filled", F.when(F.col("filled"), F.col("i") + F.col("first")).otherwise(0).alias("section_idx"), title.alias("title"), body.alias("text"))
+    out = out.where((F.col("text") != "") | ~F.col("filled"))
+    return out.select("doc_idx", "paper_id", "section_idx", "title", F.when(F.col("filled"), plain_ends(F.col("text"))).otherwise(F.col("text")).alias("text"), F.lit(None).cast("int").alias("page"))
 
 
 def clean_heading(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm, slug, stable_id
 from ..operators import extract, graph, harness, parse, report, sampling, seeds, sft
 from ..sources import readers, sinks
-from ..sources.staging import shared_folder, staged
+from ..sources.staging import new_folder, shared_folder, spread, staged
 from ..streaming import ingest
 from . import oracle as o
 
@@ -35,7 +35,7 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select(F.col("doc_id").alias("doc_idx"), F.col("doc_id").cast("string").alias("paper_id"), "text")
+    return spread(t(spark, d, "documents").select(F.col("doc_id").alias("doc_idx"), F.col("doc_id").cast("string").alias("paper_id"), "text"))
 
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
