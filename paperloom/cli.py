@@ -50,8 +50,11 @@ _CANDIDATE = (
 )
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    return readers.json_lines(spark, path, _CANDIDATE)
+def read_candidates(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
+    """Candidates of JSON lines; with their places in the files where the last of a repeated id
+    counts."""
+    rows = readers.json_lines(spark, path, _CANDIDATE)
+    return rows if places else rows.drop(*readers.PLACE)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -120,29 +123,31 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "seed":
         seed(spark, a.name, a.raw_dir, a.out_dir, a.max_papers_per_split or None, a.max_claims_per_split or None)
     elif a.command == "sft":
-        merged = sft.merge_labels(read_candidates(spark, a.autolabeled).drop("strict_auto_label"), read_candidates(spark, a.strict)).cache()
+        merged = sft.merge_labels(read_candidates(spark, a.autolabeled).drop("strict_auto_label"), read_candidates(spark, a.strict, places=True)).cache()
         stats = {"input_rows": merged.count(), "status": {r[0]: r[1] for r in merged.groupBy("effective.status").count().collect()}}
         for task, made in (("extractor", sft.extractor_examples(merged, a.eval_ratio, a.seed)), ("judge", sft.judge_examples(merged, a.eval_ratio, a.seed))):
             for split in ("train", "eval"):
                 stats[f"{task}_{split}"] = sinks.write_json_lines(made.where(F.col("split") == split).drop("split"), f"{a.out_dir}/{task}_{split}")
         Path(f"{a.out_dir}/sft_stats.json").write_text(json.dumps(stats, indent=2, sort_keys=True) + "\n")
     else:
-        gen = readers.json_lines(spark, a.generated, "chunk_id string, text string")
-        gen = gen.orderBy("_file", "_line").limit(a.limit) if a.limit else gen
-        r = sft.validity(gen).agg(F.count("*"), F.count_if("json_valid"), F.count_if("schema_ok")).first()
-        print(json.dumps({"total": r[0], "json_valid": r[1], "schema_ok": r[2]}))
+        judged = sft.validity(readers.json_lines(spark, a.generated, "chunk_id string, text string", limit=a.limit or None)).cache()
+        summary = sft.validity_summary(judged).first().asDict()
+        if a.limit:  # few rows
+            summary["results"] = [r.asDict() for r in judged.collect()]
+        print(json.dumps(summary, ensure_ascii=False, indent=2))
     return 0
 
 
 def seed(spark: SparkSession, name: str, raw: str, out: str, most_papers: int | None, most_claims: int | None) -> None:
-    """Convert one corpus of local split files to chunks, evidence and seeds."""
+    """Convert one corpus of split files, in or below a folder, to chunks, evidence and seeds."""
     splits = ["train", "validation", "test", *(["test_ood"] if name == "scier" else [])]
-    found = {s: f"{raw}/{s}.json" + ("" if name == "qasper" else "l") for s in splits}
-    for s, path in list(found.items()):
-        if not Path(path).exists():
+    found = {}
+    for s in splits:
+        try:
+            found[s] = readers.split_file(spark, raw, f"{s}.json" + ("" if name == "qasper" else "l"))
+        except FileNotFoundError:
             if s != "test_ood":
-                raise FileNotFoundError(path)
-            del found[s]
+                raise
     if name == "qasper":
         papers = readers.by_split({s: readers.json_map(spark, f, seeds.QA_PAPER).select("pos", F.col("key").alias("paper_id"), "value.*") for s, f in found.items()})
         made = seeds.question_corpus(papers, most_papers)
@@ -150,7 +155,7 @@ def seed(spark: SparkSession, name: str, raw: str, out: str, most_papers: int |
         rows = seeds.numbered(readers.by_split({s: readers.json_lines(spark, f, seeds.CLAIM, strict=False) for s, f in found.items()}))
         if most_claims:
             rows = rows.where(F.col("row_idx") <= most_claims)
-        made = seeds.claim_corpus(rows, readers.last_per_key(readers.json_lines(spark, f"{raw}/corpus.jsonl", seeds.CORPUS, strict=False), "doc_id"))
+        made = seeds.claim_corpus(rows, readers.last_per_key(readers.json_lines(spark, readers.split_file(spark, raw, "corpus.jsonl"), seeds.CORPUS, strict=False), "doc_id"))
     else:
         schema, convert = (seeds.SENTENCE, seeds.sentence_corpus) if name == "scier" else (seeds.FULL_DOCUMENT, seeds.document_corpus)
         made = convert(seeds.numbered(readers.by_split({s: readers.json_lines(spark, f, schema, strict=False) for s, f in found.items()})))

@@ -60,24 +60,65 @@ def _unicode_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _grams(token: Column, n: Column) -> Column:
+    """The pieces of n characters of a token."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(token) - n + 1, F.lit(1))), lambda i: F.substring(token, i, n))
+
+
 def _exact(ev: DataFrame, ch: DataFrame) -> DataFrame:
     """(ev_id, chunk_id) of the first chunk of the paper that holds the needle.
 
-    A token inside the needle, neither its first nor its last, is a whole token of any
-    text that holds it. So a needle meets only chunks with its rarest inner token, and
-    a paper with a third of all rows is spread over its tokens. Needles of two
-    tokens or fewer have no inner one and meet all chunks of their paper.
+    Equal needles of a paper are sought once. A token inside the needle, neither its
+    first nor its last, is a whole token of any text that holds it. So a needle meets only
+    chunks with its rarest inner token, and a paper with a third of all rows is spread
+    over its tokens. Needles of two tokens or fewer have no inner one: the longer of
+    theirs is part of a token of the text, which is sought among the paper's different
+    tokens by its rarest piece of three characters (of fewer, if it is shorter). Needles
+    without any token meet all chunks of their paper.
     """
-    ev = ev.withColumn("ts", _unicode_tokens(F.col("needle")))
-    index = ch.select("paper_id", "chunk_id", F.explode(F.array_distinct(_unicode_tokens(F.col("hay")))).alias("token"))
-    inner = ev.where(F.size("ts") > 2).select("ev_id", "paper_id", F.explode(F.array_distinct(F.slice("ts", 2, F.greatest(F.size("ts") - 2, F.lit(0))))).alias("token"))
+    needles = ev.select("paper_id", "needle").distinct().withColumn("ts", _unicode_tokens(F.col("needle")))
+    index = staged(ch.select("paper_id", "chunk_id", F.explode(F.array_distinct(_unicode_tokens(F.col("hay")))).alias("token")))  # read three times
+    inner = needles.where(F.size("ts") > 2).select("paper_id", "needle", F.explode(F.array_distinct(F.slice("ts", 2, F.greatest(F.size("ts") - 2, F.lit(0))))).alias("token"))
     spread = index.groupBy("paper_id", "token").agg(F.count("*").alias("n"))
-    rarest = inner.join(spread, ["paper_id", "token"], "left").groupBy("ev_id", "paper_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    met = rarest.join(index, ["paper_id", "token"]).select("ev_id", "chunk_id").join(ev.select("ev_id", "needle"), "ev_id").join(ch.select("chunk_id", "chunk_ord", "hay"), "chunk_id")
-    short = ev.where(F.size("ts") <= 2).select("ev_id", "needle", "paper_id").join(ch, "paper_id")
-    cols = ["ev_id", "chunk_id", "chunk_ord", "needle", "hay"]
-    hits = met.select(cols).unionByName(short.select(cols)).where(F.col("hay").contains(F.col("needle")))
-    return hits.groupBy("ev_id").agg(F.min_by("chunk_id", "chunk_ord").alias("chunk_id"))
+    rarest = inner.join(spread, ["paper_id", "token"], "left").groupBy("paper_id", "needle").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    part = needles.where(F.size("ts").isin(1, 2)).select("paper_id", "needle", F.array_max(F.transform("ts", lambda x: F.struct(F.length(x).alias("n"), x.alias("token"))))["token"].alias("piece"))
+    pieces = part.withColumn("k", F.least(F.length("piece"), F.lit(3)))
+    grams = pieces.select("paper_id", "piece", "k").distinct().withColumn("gram", F.explode(F.array_distinct(_grams(F.col("piece"), F.col("k")))))
+    sizes = pieces.groupBy("paper_id").agg(F.collect_set("k").alias("ks"))  # three at most
+    vocabulary = spread.join(sizes, "paper_id").select("paper_id", "token", F.explode(F.array_distinct(F.flatten(F.transform("ks", lambda k: _grams(F.col("token"), k))))).alias("gram"))
+    common = vocabulary.groupBy("paper_id", "gram").agg(F.count("*").alias("n"))
+    rare = grams.join(common, ["paper_id", "gram"]).groupBy("paper_id", "piece").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    holding = rare.join(vocabulary, ["paper_id", "gram"]).where(F.col("token").contains(F.col("piece"))).select("paper_id", "piece", "token")
+    met = rarest.unionByName(pieces.join(holding, ["paper_id", "piece"]).select("paper_id", "needle", "token"))
+    # by hash of the needle, since a paper's chunks can be many and a needle long
+    pairs = met.join(index, ["paper_id", "token"]).select("paper_id", "needle", "chunk_id").distinct()
+    blank = needles.where(F.size("ts") == 0).select("paper_id", "needle").join(ch.select("paper_id", "chunk_id"), "paper_id")
+    texts = ch.select("chunk_id", "chunk_ord", "hay")
+    hits = pairs.unionByName(blank.select(pairs.columns)).join(texts, "chunk_id").where(F.col("hay").contains(F.col("needle")))
+    first = hits.groupBy("paper_id", "needle").agg(F.min_by("chunk_id", "chunk_ord").alias("chunk_id"))
+    return ev.join(first, ["paper_id", "needle"]).select("ev_id", "chunk_id")
+
+
+def _overlapping(rest: DataFrame, ch: DataFrame) -> DataFrame:
+    """rest(ev_id, paper_id, t: distinct tokens, n: their number): the first chunk with the
+    greatest share of the tokens, if enough (ev_id, chunk_id, overlap).
+
+    A chunk with k of n tokens has at least one of the n - k + 1 rarest, so only these are
+    joined; pairs that meet are counted on their whole token sets.
+    """
+    index = ch.select("paper_id", "chunk_id", F.explode(tokens(F.col("hay"))).alias("token"))
+    common = index.groupBy("paper_id", "token").agg(F.count("*").alias("c"))
+    # Equal token sets of a paper are sought once.
+    sought = rest.groupBy("paper_id", F.array_sort("t").alias("t")).agg(F.min("ev_id").alias("one"))
+    ranked = sought.select("paper_id", "one", F.size("t").alias("n"), F.explode("t").alias("token")).join(common, ["paper_id", "token"], "left")
+    place = F.row_number().over(Window.partitionBy("paper_id", "one").orderBy(F.coalesce("c", F.lit(0)), "token"))
+    probe = ranked.withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * LEAST_OVERLAP) + 1) & F.col("c").isNotNull())
+    met = probe.join(index, ["paper_id", "token"]).select("one", "chunk_id").distinct()
+    texts = ch.select("chunk_id", "chunk_ord", tokens(F.col("hay")).alias("ht"))
+    scored = met.join(sought.select("one", "t"), "one").join(texts, "chunk_id").withColumn("overlap", F.size(F.array_intersect("t", "ht")) / F.size("t")).where(F.col("overlap") >= LEAST_OVERLAP)
+    best = scored.groupBy("one").agg(F.max_by(F.struct("chunk_id", "overlap"), F.struct("overlap", -F.col("chunk_ord"))).alias("b"))
+    found = sought.join(best, "one").select("paper_id", F.col("t").alias("st"), "b")
+    return rest.select("ev_id", "paper_id", F.array_sort("t").alias("st")).join(found, ["paper_id", "st"]).select("ev_id", F.col("b.chunk_id").alias("chunk_id"), F.col("b.overlap").alias("overlap"))
 
 
 def locate(evidence: DataFrame, chunks: DataFrame, stage: bool = False) -> DataFrame:
@@ -85,21 +126,16 @@ def locate(evidence: DataFrame, chunks: DataFrame, stage: bool = False) -> DataF
     chunk_text): the first chunk that holds the span, else of a span with five tokens or
     more the first with the greatest token overlap, if at least 0.65.
 
-    Two phases: only spans without an exact hit are tokenised for overlap, and they meet
-    chunks on shared tokens, so chunks without any never form a pair. ``stage`` writes the
-    exact hits, which are read twice.
+    Two phases: only spans without an exact hit are sought by overlap, and both meet
+    chunks on rare tokens only. ``stage`` writes the exact hits, which are read twice.
     """
     ev = evidence.select("ev_id", "paper_id", F.lower(norm(F.col("evidence_span"))).alias("needle")).where("needle <> ''")
     ch = chunks.select("paper_id", "chunk_id", "chunk_ord", F.lower("chunk_text").alias("hay"))
     exact = staged(_exact(ev, ch)) if stage else _exact(ev, ch)
     exact = exact.withColumn("match", F.lit("exact")).withColumn("overlap", F.lit(1.0))
-    rest = ev.join(exact.select("ev_id"), "ev_id", "left_anti").withColumn("t", tokens(F.col("needle"))).withColumn("n", F.size("t")).where(F.col("n") >= LEAST_TOKENS)
-    probe = rest.select("ev_id", "paper_id", "n", F.explode("t").alias("token"))
-    index = ch.select("paper_id", "chunk_id", "chunk_ord", F.explode(tokens(F.col("hay"))).alias("token"))
-    shared = probe.join(index, ["paper_id", "token"]).groupBy("ev_id", "n", "chunk_id", "chunk_ord").agg(F.count("*").alias("k"))
-    scored = shared.withColumn("overlap", F.col("k") / F.col("n")).where(F.col("overlap") >= LEAST_OVERLAP)
-    best = scored.groupBy("ev_id").agg(F.max_by(F.struct("chunk_id", "overlap"), F.struct("overlap", -F.col("chunk_ord"))).alias("b"))
-    return exact.unionByName(best.select("ev_id", F.col("b.chunk_id").alias("chunk_id"), F.lit("overlap").alias("match"), F.col("b.overlap").alias("overlap")))
+    rest = ev.join(exact.select("ev_id"), "ev_id", "left_anti").withColumn("t", tokens(F.col("needle"))).where(F.size("t") >= LEAST_TOKENS)
+    best = _overlapping(rest.select("ev_id", "paper_id", "t"), ch)
+    return exact.unionByName(best.select("ev_id", "chunk_id", F.lit("overlap").alias("match"), "overlap"))
 
 
 def section_chunks(papers: DataFrame) -> DataFrame:
@@ -258,5 +294,13 @@ def document_corpus(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """row_idx: the place of each row in its split, from 1, by file and line."""
-    return rows.withColumn("row_idx", F.row_number().over(Window.partitionBy("split").orderBy("_file", "_line")))
+    """row_idx: the place of each row in its split, from 1, by file and place in it. Rows are
+    numbered within the part of a file that a task reads, and shifted by the counts of the
+    parts before it; only those counts are brought together."""
+    part = ["split", "_file", "_part"]
+    here = Window.partitionBy(*part)
+    counts = rows.groupBy(*part).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("split").orderBy("_file", "_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.withColumn("__before", before).drop("__n")
+    own = rows.withColumn("__own", F.row_number().over(here.orderBy("_line")))
+    return own.join(shifts, part).withColumn("row_idx", (F.col("__before") + F.col("__own")).cast("int")).drop("__before", "__own")

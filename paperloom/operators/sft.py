@@ -14,10 +14,13 @@ _DECISION = "struct<version:string,status:string,confidence:double,reason_codes:
 
 
 def merge_labels(auto: DataFrame, strict: DataFrame) -> DataFrame:
-    """Candidates with ``auto_label``, joined with ``strict_auto_label`` of the same id
-    (the last one, should an id repeat), and the ``effective`` label of both."""
-    last = strict.groupBy("candidate_id").agg(F.last("strict_auto_label").alias("strict_auto_label"))
-    both = auto.join(last, "candidate_id", "left")
+    """Candidates with ``auto_label``, joined with ``strict_auto_label`` of the same id, and the
+    ``effective`` label of both. Ids are compared without outer and repeated blanks. Should an id
+    repeat among the strict labels, the last in file order counts (``_file``, ``_part``, ``_line``
+    as the reader gives them), without them the greatest label as JSON text."""
+    order = [F.col(c) for c in ("_file", "_part", "_line") if c in strict.columns] or [F.to_json("strict_auto_label")]
+    last = strict.groupBy(norm(F.col("candidate_id")).alias("__id")).agg(F.max_by("strict_auto_label", F.struct(*order)).alias("strict_auto_label"))
+    both = auto.withColumn("__id", norm(F.col("candidate_id"))).join(last, "__id", "left").drop("__id")
     use = F.coalesce(F.col("strict_auto_label.status"), F.lit("")) != ""
     none = {"status": F.lit("reject"), "confidence": F.lit(0.0), "reason_codes": F.array(F.lit("missing_auto_label"))}
     held = F.col("auto_label").isNotNull()
@@ -83,24 +86,29 @@ def judge_examples(merged: DataFrame, eval_ratio: float = 0.1, seed: int = 17) -
 
 
 def json_payload(text: Column) -> Column:
-    """The text's outermost JSON object as text, or null."""
-    cut = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    v = F.try_parse_json(cut)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.to_json(v))
+    """The text's outermost JSON object as a variant, or null."""
+    v = F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
 
 
 def schema_ok(payload: Column) -> Column:
-    v = F.try_parse_json(payload)
+    """Whether all keys of the schema are there and hold arrays."""
     ok = payload.isNotNull()
     for k in KEYS:
-        ok = ok & F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).startswith("ARRAY"), F.lit(False))
+        ok = ok & F.coalesce(F.schema_of_variant(F.try_variant_get(payload, f"$.{k}", "variant")).startswith("ARRAY"), F.lit(False))
     return ok
 
 
 def validity(generated: DataFrame) -> DataFrame:
-    """generated(chunk_id, text): whether each text holds a JSON object of the schema."""
-    p = json_payload(F.col("text"))
-    return generated.select("chunk_id", p.isNotNull().alias("json_valid"), schema_ok(p).alias("schema_ok"), F.substring("text", 1, 300).alias("preview"))
+    """generated(chunk_id, text): whether each text holds a JSON object of the schema. Each text
+    is parsed once: the variant is generated, so no expression that reads it repeats it."""
+    rows = generated.select("chunk_id", "text", F.explode(F.array(json_payload(F.col("text")))).alias("payload"))
+    return rows.select("chunk_id", F.col("payload").isNotNull().alias("json_valid"), schema_ok(F.col("payload")).alias("schema_ok"), F.substring("text", 1, 300).alias("preview"))
+
+
+def validity_summary(judged: DataFrame) -> DataFrame:
+    """(total, json_valid, schema_ok): one row, of zeros for no texts."""
+    return judged.agg(F.count("*").alias("total"), F.count_if("json_valid").alias("json_valid"), F.count_if("schema_ok").alias("schema_ok"))
 
 
 def prf(gold: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def named_concepts(it: DataFrame) -> DataFrame:
 def candidates(spark: SparkSession, d: str, *names: str) -> DataFrame:
     """Candidates, each delivered once: the earliest delivery of an id; of all columns or those named."""
     c = t(spark, d, "candidates").where("candidate_id is not null")
-    c = c.select("candidate_id", "ingested_at", *names) if names else c
+    c = spread(c.select("candidate_id", "ingested_at", *names) if names else c)
     return c.groupBy("candidate_id").agg(F.min_by(F.struct(*[x for x in c.columns if x != "candidate_id"]), "ingested_at").alias("r")).select("candidate_id", "r.*")
 
 
@@ -196,9 +196,9 @@ def qa_answers(spark, d):
 
 
 def _evidence(spark, d):
-    c = candidates(spark, d).where("paper_id is not null")
-    ev = c.select(F.col("candidate_id").alias("ev_id"), F.concat_ws("/", "source_dataset", "paper_id").alias("paper_id"), "evidence_span")
-    ch = t(spark, d, "chunks").groupBy("chunk_id").agg(F.min(F.concat_ws("/", "source_dataset", "paper_id")).alias("paper_id"), F.min("text").alias("chunk_text"))
+    c = candidates(spark, d, "source_dataset", "paper_id", "evidence_span").where("paper_id is not null")
+    ev = staged(c.select(F.col("candidate_id").alias("ev_id"), F.concat_ws("/", "source_dataset", "paper_id").alias("paper_id"), "evidence_span"))
+    ch = spread(t(spark, d, "chunks")).groupBy("chunk_id").agg(F.min(F.concat_ws("/", "source_dataset", "paper_id")).alias("paper_id"), F.min("text").alias("chunk_text"))
     return ev, ch.select("paper_id", "chunk_id", F.col("chunk_id").alias("chunk_ord"), "chunk_text")
 
 
@@ -216,7 +216,7 @@ def evidence_exact_match(spark, d):
 def locate_(ev, ch):
     """Ordinals of chunks by id, as numbers."""
     order = ch.select("chunk_id", F.row_number().over(Window.partitionBy("paper_id").orderBy("chunk_id")).alias("n"))
-    return seeds.locate(ev, ch.drop("chunk_ord").join(order, "chunk_id").withColumnRenamed("n", "chunk_ord"))
+    return seeds.locate(ev, staged(ch.drop("chunk_ord").join(order, "chunk_id").withColumnRenamed("n", "chunk_ord")), stage=True)
 
 
 @query(f"""with {_EV}, rest as (select ev.* from ev left join ex on ex.ev_id = ev.ev_id where ex.ev_id is null and needle <> ''),

@@ -1,5 +1,6 @@
 """Parsing, extraction, graph, reports and rules on small inputs of our own."""
 
+import json
 import random
 
 import pytest
@@ -261,15 +262,136 @@ def test_json_lines(spark, tmp_path):
     f = tmp_path / "a.jsonl"
     f.write_text('{"x": 1}\n\n[2]\n{"x": 3}\n')
     assert [r.x for r in readers.json_lines(spark, str(f), "x int", strict=False).collect()] == [1, 3]
-    with pytest.raises(Exception, match="no JSON object in .*line 3"):
+    with pytest.raises(Exception, match=r"no JSON object in .*a.jsonl.*\[2\]"):
         readers.json_lines(spark, str(f), "x int").collect()
     f.write_text('{"x": 1, "y": "a"}\n{"x": 1, "y": "b"}\n{bad\n')
-    with pytest.raises(Exception, match="no JSON in .*line 3"):
+    with pytest.raises(Exception, match=r"no JSON in .*a.jsonl.*\{bad"):
         readers.json_lines(spark, str(f), "x int, y string").collect()
     f.write_text('{"x": 1, "y": "a"}\n{"x": 1, "y": "b"}\n')
     assert readers.last_per_key(readers.json_lines(spark, str(f), "x int, y string"), "x").first().y == "b"
 
 
+def test_lines_are_numbered_across_parts_and_bounded(spark, tmp_path):
+    for name, n in (("a", 400), ("b", 3)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"x": {i}, "s": "{name}"}}\n\n' for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = readers.json_lines(spark, f"{tmp_path}/*.jsonl", "x int, s string").withColumn("split", F.lit("t"))
+        assert rows.select("_part").distinct().count() > 3
+        got = sorted((r.row_idx, r.s, r.x) for r in seeds.numbered(rows).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i + 1, "a", i) for i in range(400)] + [(400 + i + 1, "b", i) for i in range(3)]
+    assert [r.x for r in readers.json_lines(spark, f"{tmp_path}/a.jsonl", "x int", limit=5).collect()] == [0, 1, 2, 3, 4]
+
+
+def test_repeated_strict_labels(spark, tmp_path):
+    f = tmp_path / "strict.jsonl"
+    f.write_text("".join(f'{{"candidate_id": "{i}", "strict_auto_label": {{"status": "{x}"}}}}\n' for i, x in (("c1", "reject"), ("c2", "edit"), (" c1 ", "accept"))))
+    from paperloom import cli
+
+    auto = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "candidate_id string").withColumn("auto_label", F.lit(None).cast(sft._DECISION))
+    got = {r.candidate_id: r.effective.status for r in sft.merge_labels(auto, cli.read_candidates(spark, str(f), places=True)).collect()}
+    assert got == {"c1": "accept", "c2": "edit", "c3": "reject"}
+
+
+def test_files_below_a_folder_and_archives(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    deep = tmp_path / "raw" / "x"
+    deep.mkdir(parents=True)
+    (deep / "train.jsonl").write_text("{}")
+    assert readers.split_file(spark, f"{tmp_path}/raw", "train.jsonl").endswith("/raw/x/train.jsonl")
+    with pytest.raises(FileNotFoundError, match="dev.jsonl"):
+        readers.split_file(spark, f"{tmp_path}/raw", "dev.jsonl")
+    with tarfile.open(tmp_path / "a.tgz", "w:gz") as t:
+        t.add(deep / "train.jsonl", "d/train.jsonl")
+    readers.unpack(f"{tmp_path}/a.tgz", f"{tmp_path}/out")
+    assert (tmp_path / "out" / "d" / "train.jsonl").exists()
+    with tarfile.open(tmp_path / "b.tar", "w") as t:
+        t.addfile(tarfile.TarInfo("../evil"), io.BytesIO())
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("ok", "1")
+        z.writestr("../evil", "1")
+    for name in ("b.tar", "c.zip"):
+        with pytest.raises(ValueError, match="unsafe path"):
+            readers.unpack(f"{tmp_path}/{name}", f"{tmp_path}/out2")
+    assert not (tmp_path / "evil").exists() and not (tmp_path / "out2" / "ok").exists()
+    with pytest.raises(ValueError, match="no supported document format: .csv"):
+        readers.document_file(spark, f"{tmp_path}/x.csv")
+    (tmp_path / "p.TXT").write_text("one")
+    assert readers.document_file(spark, f"{tmp_path}/p.TXT").first().paper_id == "p"
+
+
+def test_locate_is_that_of_brute_force(spark):
+    import re
+
+    rng = random.Random(7)
+    words = ["oak", "art", "party", "x", "yz", "red", "tree", "of", "the", "a", "3d", "7"]
+    chunks = [(p, f"{p}{i}", i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 14))) + rng.choice(["", " -- .", "..."])) for p in "pq" for i in range(25)]
+    spans = ["art", "ar", "x y", "--", "RED  tree", "t", "", "oak of", "of the a", "7 3d", "absent"]
+    spans += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(90)]
+    ev = [(i, rng.choice("pq"), s) for i, s in enumerate(spans * 2)]
+    want = set()
+    for i, p, s in ev:
+        needle = " ".join(s.lower().split())
+        hold = [c for c in chunks if c[0] == p and needle and needle in c[3].lower()]
+        t = set(re.findall("[a-z0-9]+", needle))
+        score = [(len(t & set(re.findall("[a-z0-9]+", c[3].lower()))) / len(t), -c[2], c[1]) for c in chunks if c[0] == p] if len(t) >= 5 else []
+        if hold:
+            want.add((i, min(hold, key=lambda c: c[2])[1], "exact", 1.0))
+        elif score and max(score)[0] >= 0.65:
+            want.add((i, max(score)[2], "overlap", max(score)[0]))
+    e = spark.createDataFrame(ev, "ev_id int, paper_id string, evidence_span string")
+    c = spark.createDataFrame(chunks, "paper_id string, chunk_id string, chunk_ord int, chunk_text string")
+    assert {tuple(r) for r in seeds.locate(e, c).select("ev_id", "chunk_id", "match", "overlap").collect()} == want
+    assert {"exact", "overlap"} <= {w[2] for w in want}
+
+
+def test_commands_of_the_pipeline(spark, tmp_path, capsys):
+    """seed, sample, label (both harnesses), sft and eval-json, each on the files of the one before."""
+    from paperloom import cli
+
+    raw = tmp_path / "raw" / "below"
+    raw.mkdir(parents=True)
+    (raw / "corpus.jsonl").write_text('{"doc_id": 7, "title": "T", "abstract": ["Oak is red.", "Pine improves oak trees over all of the other trees here."], "structured": false}\n')
+    claim = lambda i, text, label: json.dumps({"id": i, "claim": text, "evidence": {"7": [{"label": label, "sentences": [1]}]}}) + "\n"
+    for split in ("train", "validation", "test"):
+        (raw / f"{split}.jsonl").write_text(claim(1, "Pine improves oak", "SUPPORT") + "[]\n" + claim(2, "Oak is blue", "CONTRADICT") + claim(3, "Other", ""))
+    cli.main(["seed", "scifact", "--raw-dir", f"{tmp_path}/raw", "--out-dir", f"{tmp_path}/seeds/scifact"])
+    manifest = json.loads((tmp_path / "seeds" / "scifact" / "manifest.json").read_text())
+    assert manifest["source"] == "scifact" and manifest["rows"] == {"chunks": 1, "evidence": 9, "seeds": 9}
+    part = next(p for p in (tmp_path / "seeds" / "scifact" / "seeds").iterdir() if p.name.endswith(".json"))
+    rows = "".join(p.read_text() for p in sorted((tmp_path / "seeds" / "scifact" / "seeds").iterdir()) if p.suffix == ".json")
+    assert part.exists() and "_line" not in rows
+    (tmp_path / "root" / "scifact").mkdir(parents=True)
+    (tmp_path / "root" / "scifact" / "seeds.jsonl").write_text(rows)
+    args = ["sample", "--seed-root", f"{tmp_path}/root", "--out", f"{tmp_path}/cand", "--review-csv", f"{tmp_path}/review", "--target", "scifact.supports=2", "--target", "scifact.contradicts=2"]
+    cli.main([*args, "--dry-run"])
+    assert not (tmp_path / "cand").exists() and "scifact.relations: 4" in capsys.readouterr().out
+    cli.main(args)
+    lines = lambda folder: [json.loads(x) for p in sorted((tmp_path / folder).glob("*.json")) for x in p.read_text().splitlines()]
+    picked = lines("cand")
+    assert len(picked) == 4 and all(r["candidate_id"].startswith("cand-") for r in picked)
+    review = "".join(p.read_text() for p in sorted((tmp_path / "review").glob("*.csv")))
+    assert review.startswith(",".join(harness.REVIEW)) and "Pine improves oak" in review
+    cli.main(["label", "--candidates", f"{tmp_path}/cand", "--out-csv", f"{tmp_path}/auto_csv", "--out-jsonl", f"{tmp_path}/auto"])
+    assert "accept: 4" in capsys.readouterr().out and all("_file" not in r for r in lines("auto"))
+    cli.main(["label", "--candidates", f"{tmp_path}/auto", "--harness", "strict-edit-pass", "--only-auto-status", "accept", "--out-csv", f"{tmp_path}/strict_csv", "--out-jsonl", f"{tmp_path}/strict"])
+    assert len(lines("strict")) == 4 and lines("strict")[0]["strict_auto_label"]["status"] == "accept"
+    cli.main(["sft", "--autolabeled", f"{tmp_path}/auto", "--strict", f"{tmp_path}/strict", "--out-dir", f"{tmp_path}/train"])
+    stats = json.loads((tmp_path / "train" / "sft_stats.json").read_text())
+    assert stats["input_rows"] == 4 and stats["status"] == {"accept": 4} and stats["judge_train"] + stats["judge_eval"] == 4
+    full = json.dumps({k: [] for k in sft.KEYS})
+    (tmp_path / "gen.jsonl").write_text("".join(json.dumps({"chunk_id": str(i), "text": x}) + "\n" for i, x in enumerate([f"ok {full}", "no", full])))
+    capsys.readouterr()
+    cli.main(["eval-json", "--generated", f"{tmp_path}/gen.jsonl", "--limit", "2"])
+    out = json.loads(capsys.readouterr().out)
+    assert (out["total"], out["json_valid"], out["schema_ok"]) == (2, 1, 1) and [r["chunk_id"] for r in out["results"]] == ["0", "1"]
+
+
 def test_build_command(spark, tmp_path):
     from paperloom import cli
 
