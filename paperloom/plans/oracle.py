@@ -1,11 +1,42 @@
-"""SQL fragments that the oracle statements share."""
-
-from ..functions.text import LINE_END, SPACE
-from ..operators.extract import KINDS, MARKERS
-from ..operators.graph import PAPER_EDGES
-from ..operators.harness import BUCKETS, CLAIM_VERBS, GENERIC, LIMIT_CUES, METRIC_CUES, TYPED, WEAK
-from ..operators.parse import HEADINGS
-from ..operators.report import INTENTS, NAMES, UNKNOWN
+"""SQL fragments that the oracle statements share.
+
+All constants are written out here a second time, so that a wrong one in an operator
+shows as a difference.
+"""
+
+# White space, line ends, and the rules' word lists.
+SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+MARKERS = {
+    "claim": ("claim", "Claim"), "method": ("method", "Method"), "experiment": ("experiment", "Experiment"), "result": ("result", "Experiment"), "limitation": ("limitation", "Limitation"), "concept": ("concept", "Concept"),
+    "주장": ("claim", "Claim"), "방법": ("method", "Method"), "실험": ("experiment", "Experiment"), "결과": ("result", "Experiment"), "한계": ("limitation", "Limitation"), "개념": ("concept", "Concept"),
+}
+KINDS = {
+    "Claim": ["abstract", "초록", "요약"], "Method": ["method", "methods", "methodology", "방법", "approach"],
+    "Experiment": ["experiment", "experiments", "evaluation", "result", "results", "실험", "평가", "결과"], "Limitation": ["limitation", "limitations", "한계"],
+}
+PAPER_EDGES = {"Claim": "paper_has_claim", "Method": "paper_uses_method", "Experiment": "paper_reports_experiment", "Limitation": "paper_has_limitation"}
+NAMES = {"Claim": "주장", "Method": "방법", "Experiment": "실험/결과", "Limitation": "한계", "Concept": "개념"}
+INTENTS = {"Claim": ["주장", "claim"], "Method": ["방법", "method"], "Experiment": ["실험", "experiment", "result", "performance"], "Limitation": ["한계", "limitation"], "Concept": ["개념", "concept"]}
+UNKNOWN = "질문 의도를 파악하지 못했습니다. '주장', '방법', '실험', '한계', '개념'처럼 질문해 보세요."
+HEADINGS = """abstract|초록|요약|introduction|서론|background|관련 연구|related work|method|methods|methodology|방법|approach|experiment|experiments|evaluation|실험|평가|result|results|결과|
+discussion|논의|limitation|limitations|한계|conclusion|결론|references|참고문헌""".replace("\n", "").split("|")
+BUCKETS = "claims methods experiments limitations concepts relations".split()
+WEAK = "|n/a|na|none|null|yes|no|true|false|unanswerable|unknown".split("|")
+GENERIC = "cnn rnn lstm mlp bert dropout attention transformer resnet vgg".split()
+TYPED = "supports contradicts used-for part-of feature-of evaluated-with trained-with compare synonym-of".split()
+METRIC_CUES = "f1 accuracy score dataset % ap map".split()
+LIMIT_CUES = "limit weak fail future however challenge".split()
+CLAIM_VERBS = "is are was were has have had shows show improves achieves outperforms reduces increases supports contradicts proposes uses requires enables".split()
+QUESTION_CUES = {
+    "methods": ["method", "approach", "algorithm", "model", "how"], "experiments": ["result", "performance", "score", "accuracy", "improvement", "experiment"],
+    "limitations": ["limitation", "fail", "error", "weakness", "future work"],
+}
+TARGETS = [
+    ("qasper", "claims", 20), ("qasper", "methods", 25), ("qasper", "experiments", 25), ("qasper", "limitations", 10), ("scifact", "supports", 35), ("scifact", "contradicts", 35),
+    ("scier", "methods", 40), ("scier", "concepts", 30), ("scier", "relations", 30), ("scirex", "methods", 20), ("scirex", "concepts", 20), ("scirex", "relations", 10),
+]
+DEDUPE_KEY = "source_dataset paper_id chunk_id label_bucket target_bucket label_id label_text evidence_span relation_type source_id target_id".split()
 
 
 def q(x: str) -> str:

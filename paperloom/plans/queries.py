@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm, slug, stable_id
 from ..operators import extract, graph, harness, parse, report, sampling, seeds, sft
 from ..sources import readers, sinks
-from ..sources.staging import new_folder, shared_folder, spread, staged
+from ..sources.staging import new_folder, spread, staged
 from ..streaming import ingest
 from . import oracle as o
 
@@ -76,14 +75,18 @@ _CLEAN = o.strip(f"regexp_replace(regexp_replace(s, '^[0-9]+(\\.[0-9]+)*[{o.SPAC
 @query(f"""with {o.LINES},
 k as (select doc_id, cast((i - 1) // 10 + 1 as int) as page, i, s, {_CLEAN} as cleaned from l where s <> '' and not regexp_full_match(s, '[0-9]+')),
 hd as (select *, length(s) <= 80 and regexp_replace(lower(cleaned), '[{o.SPACE}]+', ' ', 'g') in ({o.many(o.HEADINGS)}) as head from k),
-g as (select *, sum(case when head then 1 else 0 end) over (partition by doc_id order by i) as n from hd)
-select cast(doc_id as varchar) as paper_id, cast(n as int) as section_idx, coalesce(nullif(max(case when head then cleaned end), ''), '문서') as title,
-  min(page) as page, string_agg(case when head then null else s end, chr(10) order by i) as text from g group by doc_id, n having count(*) filter (where not head) > 0""")
+g as (select *, sum(case when head then 1 else 0 end) over (partition by doc_id order by i) as n from hd),
+ps as (select doc_id, cast(n as int) as section_idx, coalesce(nullif(max(case when head then cleaned end), ''), '문서') as title,
+  min(page) as page, string_agg(case when head then null else s end, chr(10) order by i) as text from g group by doc_id, n having count(*) filter (where not head) > 0),
+pg as (select doc_id, (i - 1) // 10 as p, string_agg(line, chr(10) order by i) as text from l group by 1, 2),
+wh as (select doc_id, {o.strip("string_agg(text, chr(10) || chr(10) order by p)")} as text from pg where {o.strip('text')} <> '' and doc_id not in (select doc_id from ps) group by doc_id)
+select cast(doc_id as varchar) as paper_id, section_idx, title, page, text from ps
+union all select cast(doc_id as varchar), 0, '문서', null, text from wh""")
 def pdf_sections(spark, d):
     rows = docs(spark, d).select("doc_idx", "paper_id", F.posexplode(F.transform(parse.lines(F.col("text")), lambda x: x)).alias("i", "line"))
     pages = rows.groupBy("doc_idx", "paper_id", (F.floor(F.col("i") / 10) + 1).cast("int").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
     out = parse.page_sections(pages.withColumn("title", F.lit("")))
-    return out.where("page is not null").select("paper_id", "section_idx", "title", "page", "text")
+    return out.select("paper_id", "section_idx", "title", "page", "text")
 
 
 @query(f"with {o.ITEMS} select cast(doc_id as varchar) as paper_id, item_type, item_id, text, section, evidence_span, confidence from it where confidence = 1.0")
@@ -244,7 +247,7 @@ def paragraph_chunks(spark, d):
     return out.select(chunk.alias("chunk_id"), F.col("k")[0].alias("source_dataset"), "section", "paragraph_index", "chunk_text")
 
 
-@query("select candidate_id, case " + " ".join(f"when {o.any_in('lower(question)', v)} then {o.q(k)}" for k, v in seeds.QUESTION_CUES.items()) + f" else 'claims' end as label_type from (select * from (with {o.ONE} select * from c)) where question is not null")
+@query("select candidate_id, case " + " ".join(f"when {o.any_in('lower(question)', v)} then {o.q(k)}" for k, v in o.QUESTION_CUES.items()) + f" else 'claims' end as label_type from (select * from (with {o.ONE} select * from c)) where question is not null")
 def question_label_type(spark, d):
     return candidates(spark, d).where("question is not null").select("candidate_id", seeds.question_label_type(F.col("question")).alias("label_type"))
 
@@ -364,16 +367,34 @@ def token_span_slice(spark, d):
     return w.select("doc_id", seeds.span_text(F.col("ws"), st, st + (F.col("doc_id") % 7).cast("int")).alias("span"))
 
 
-@query(f"""with {o.ONE} select candidate_id, cast(case when starts_with({o.norm('label_text')}, '{{') then 2 else 0 end + 1 as bigint) as relations from c where source_dataset = 'scirex'""")
+@query(f"""with {o.ONE}, r as (select candidate_id, {o.norm('label_text')} as lab, substr({o.norm('chunk_text')}, 1, 800) as evidence_span from c where source_dataset = 'scirex'),
+u as (select candidate_id, 1 as i, lab as raw, evidence_span from r where starts_with(lab, '{{') union all select candidate_id, case when starts_with(lab, '{{') then 2 else 1 end, '{{"raw":["a","b"]}}', evidence_span from r
+  union all select candidate_id, 3, lab, evidence_span from r where starts_with(lab, '{{'))
+select candidate_id, cast(i as int) as i, 'document_level_relation' as type, raw as raw_relation, evidence_span from u""")
 def relation_union(spark, d):
     c = candidates(spark, d).where("source_dataset = 'scirex'")
     lab = norm(F.col("label_text"))
     rows = c.select(
-        F.lit("train").alias("split"), F.xxhash64("candidate_id").alias("row_idx"), F.col("candidate_id").alias("doc_id"), F.lit(None).cast("string").alias("doc_key"), F.array(F.lit("x")).alias("words"), F.lit(None).cast("array<array<string>>").alias("sentences"), F.lit(None).cast("string").alias("ner"),
+        F.lit("train").alias("split"), F.xxhash64("candidate_id").alias("row_idx"), F.col("candidate_id").alias("doc_id"), F.lit(None).cast("string").alias("doc_key"), F.split(norm(F.col("chunk_text")), " ").alias("words"), F.lit(None).cast("array<array<string>>").alias("sentences"), F.lit(None).cast("string").alias("ner"),
         F.array(lab).alias("n_ary_relations"), F.array(F.lit('["a","b"]'), F.lit("no relation")).alias("relations"), F.array(lab).alias("relation"),
     )
     made = seeds.document_corpus(rows)[2]
-    return made.select(F.col("paper_id").alias("candidate_id"), F.size("labels.relations").cast("bigint").alias("relations"))
+    out = made.select(F.col("paper_id").alias("candidate_id"), F.posexplode("labels.relations").alias("i", "r"))
+    return out.select("candidate_id", (F.col("i") + 1).alias("i"), "r.type", "r.raw_relation", "r.evidence_span")
+
+
+@query(f"""with {o.ONE}, r as (select candidate_id, string_split({o.norm('chunk_text')}, ' ') as ws, hash(candidate_id) as h from c where source_dataset = 'scirex' and {o.norm('chunk_text')} <> ''),
+e as (select candidate_id, 1 as i, 'Method' as type, list_slice(ws, 1, 2) as x from r union all select candidate_id, 2, 'Task', list_slice(ws, 2, 4) from r union all select candidate_id, 3, 'method', ws from r)
+select candidate_id, cast(i as int) as i, type, case when type = 'Task' then 'concepts' else 'methods' end as bucket, array_to_string(x, ' ') as text from e where array_to_string(x, ' ') <> ''""")
+def document_entities(spark, d):
+    """Entities by their spans: two words, three from the second on, and a span beyond the end."""
+    c = candidates(spark, d).where("source_dataset = 'scirex'").where(norm(F.col("chunk_text")) != "")
+    rows = c.select(
+        F.lit("train").alias("split"), F.xxhash64("candidate_id").alias("row_idx"), F.col("candidate_id").alias("doc_id"), F.lit(None).cast("string").alias("doc_key"), F.split(norm(F.col("chunk_text")), " ").alias("words"),
+        F.lit(None).cast("array<array<string>>").alias("sentences"), F.lit('[[[0,2,"Method"],[1,4,"Task"]],[[0,1000000,"method"]]]').alias("ner"), *[F.lit(None).cast("array<string>").alias(x) for x in ("n_ary_relations", "relations", "relation")],
+    )
+    e = seeds.document_corpus(rows)[1]
+    return e.select(F.col("paper_id").alias("candidate_id"), F.element_at(F.split("id", "-"), -1).cast("int").alias("i"), "type", "bucket", "text")
 
 
 @query("select p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'item') as slug from part")
@@ -404,16 +425,33 @@ lim as (select *, case when source_dataset = 'scirex' then case label_bucket whe
 kept as (select * from lim where m is null or n <= m or i in (select cast(round_even(cast(j * (n - 1) as double) / (m - 1), 0) as bigint) from unnest(range(m)) as u(j)))"""
 
 
-@query(f"""with {_SEEDED} select source_dataset, label_bucket, case when source_dataset = 'scifact' then lower({o.norm('relation_type')}) else label_bucket end as target_bucket, {o.norm('chunk_id')} as chunk_id, {o.norm('label_id')} as label_id,
-{o.norm('evidence_span')} as evidence_span, length({o.norm('chunk_text')}) >= 1600 as long_chunk, {o.norm('evidence_span')} <> '' and not contains({o.norm('chunk_text')}, {o.norm('evidence_span')}) as mismatch
-from kept where source_dataset <> 'scifact' or (label_bucket = 'relations' and lower({o.norm('relation_type')}) in ('supports', 'contradicts'))""")
+_ABOUT = lambda x: f"coalesce(nullif({o.norm(x + '.label_text')}, ''), {o.norm(x + '.relation_type')})"
+_IDS = ["source_dataset", "paper_id", "chunk_id", "seed_id", "label_bucket", "target_bucket", "label_id", "label_text", "relation_type", "source_id", "target_id", "evidence_span"]
+_OWN = lambda c: f"case when label_bucket = 'relations' then {o.norm(c)} else '' end as {c}"
+
+
+@query(f"""with {_SEEDED},
+cm as (select coalesce(paper_id, '') as p, chunk_id, {o.norm('label_id')} as lid, arg_min({_ABOUT('c')}, candidate_id) as txt, min(candidate_id) as first from c
+  where chunk_id is not null and source_dataset = 'scifact' and label_bucket = 'claims' group by 1, 2, 3),
+c1 as (select p, chunk_id, arg_min(txt, first) as txt from cm group by 1, 2),
+mc as (select source_dataset, coalesce(paper_id, '') as p, chunk_id, bool_or(label_bucket = 'methods') and bool_or(label_bucket = 'concepts') as mixed from c where chunk_id is not null group by 1, 2, 3),
+w as (select kept.source_dataset, kept.label_bucket, kept.candidate_id as given, kept.chunk_text as raw_chunk, kept.label_text as raw_label, lower({o.norm('kept.relation_type')}) as kind, kept.source_id as s0, kept.target_id as t0, mixed,
+  {o.norm('kept.paper_id')} as paper_id, {o.norm('kept.chunk_id')} as chunk_id, {o.norm("kept.source_dataset || '/' || coalesce(kept.paper_id, '') || '/' || kept.chunk_id")} as seed_id, {o.norm('kept.label_id')} as label_id, {o.norm('kept.evidence_span')} as evidence_span,
+  {_ABOUT('kept')} as own, case when kept.source_dataset = 'scifact' then coalesce(cm.txt, c1.txt) end as about, relation_type, source_id, target_id
+  from kept join mc on mc.source_dataset = kept.source_dataset and mc.p = coalesce(kept.paper_id, '') and mc.chunk_id = kept.chunk_id
+  left join cm on kept.source_dataset = 'scifact' and cm.p = coalesce(kept.paper_id, '') and cm.chunk_id = kept.chunk_id and cm.lid = {o.norm('kept.source_id')}
+  left join c1 on kept.source_dataset = 'scifact' and c1.p = coalesce(kept.paper_id, '') and c1.chunk_id = kept.chunk_id
+  where kept.source_dataset <> 'scifact' or (kept.label_bucket = 'relations' and lower({o.norm('kept.relation_type')}) in ('supports', 'contradicts'))),
+v as (select source_dataset, paper_id, chunk_id, seed_id, label_bucket, case when source_dataset = 'scifact' then kind else label_bucket end as target_bucket, label_id, coalesce(about, own) as label_text, {_OWN('relation_type')}, {_OWN('source_id')}, {_OWN('target_id')}, evidence_span,
+  concat_ws(',', case when length({o.norm('raw_chunk')}) >= 1600 then 'long_chunk' end, case when evidence_span <> '' and not contains({o.norm('raw_chunk')}, evidence_span) then 'evidence_span_mismatch' end,
+    case when label_bucket = 'relations' and (coalesce(s0, '') <> '' or coalesce(t0, '') <> '') then 'relation_endpoints' end, case when label_bucket = 'relations' and kind = 'contradicts' then 'contradicts_relation' end,
+    case when mixed then 'method_and_concept_same_chunk' end, case when own = '' then 'empty_or_ambiguous_label' end) as hard_cases from w)
+select 'cand-' || substr(sha1({" || chr(31) || ".join(_IDS)}), 1, 16) as candidate_id, {', '.join(_IDS)}, hard_cases from v""")
 def seed_candidates(spark, d):
-    made = sampling.candidates(_seed_rows(spark, d))
-    has = lambda x: F.array_contains("hard_cases", x)
-    return made.select("source_dataset", "label_bucket", "target_bucket", "chunk_id", "label_id", "evidence_span", has("long_chunk").alias("long_chunk"), has("evidence_span_mismatch").alias("mismatch"))
+    return sampling.candidates(_seed_rows(spark, d)).select("candidate_id", *_IDS, F.array_join("hard_cases", ",").alias("hard_cases"))
 
 
-_DK = ", ".join(f"coalesce({c}, '')" for c in sampling.DEDUPE_KEY)
+_DK = ", ".join(f"coalesce({c}, '')" for c in o.DEDUPE_KEY)
 
 
 @query(f"with {o.ONE}, r as (select candidate_id, row_number() over (partition by {_DK} order by candidate_id) as n from (select * exclude (rn) from c)) select candidate_id from r where n = 1")
@@ -428,7 +466,7 @@ def representative_labels(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(sampling.representative(ws, (F.col("doc_id") % 4 + 2).cast("int")), " ").alias("picked"))
 
 
-_FLAT = [(a, b, n) for a, per in sampling.TARGETS.items() for b, n in per.items()]
+_FLAT = o.TARGETS
 _SAMPLE = f"""{o.ONE}, tg(source_dataset, target_bucket, quota) as (values {', '.join(f"('{a}', '{b}', {n})" for a, b, n in _FLAT)}),
 p as (select candidate_id, source_dataset, target_bucket, coalesce(paper_id, '') as paper_id, len(hard_cases) as hc, sha256('13|' || candidate_id) as h1, sha256('14|' || candidate_id) as h2 from c),
 k1 as (select *, row_number() over (partition by source_dataset, target_bucket, paper_id order by hc desc, h1, paper_id, candidate_id) as k from p),
@@ -441,11 +479,6 @@ g2 as (select *, row_number() over (partition by source_dataset order by k > 1,
 s2 as (select g2.candidate_id, g2.source_dataset from g2 join ms on ms.source_dataset = g2.source_dataset where g <= ms.quota)"""
 
 
-@query(f"with {_SAMPLE} select candidate_id, 'target' as pick from s1 union all select candidate_id, 'dataset' from s2")
-def stratified_sample(spark, d):
-    return sampling.sample(candidates(spark, d))[0].where("pick <> 'global'").select("candidate_id", "pick")
-
-
 _BACKFILL = f"""{_SAMPLE}, lf as (select {sum(n for *_, n in _FLAT)} - (select count(*) from s1) - (select count(*) from s2) as quota),
 p3 as (select *, sha256('15|' || candidate_id) as h3 from p where candidate_id not in (select candidate_id from s1) and candidate_id not in (select candidate_id from s2)),
 k3 as (select *, row_number() over (partition by paper_id order by hc desc, h3, candidate_id) as k from p3),
@@ -454,8 +487,7 @@ s3 as (select candidate_id from g3, lf where g <= lf.quota)"""
 
 
 @query(f"with {_BACKFILL} select candidate_id, 'target' as pick from s1 union all select candidate_id, 'dataset' from s2 union all select candidate_id, 'global' from s3")
-def sample_backfill(spark, d):
-    """All three stages; stratified_sample keeps to the two of its SQL."""
+def stratified_sample(spark, d):
     return sampling.sample(candidates(spark, d))[0].select("candidate_id", "pick")
 
 
@@ -513,18 +545,30 @@ def hash_split(spark, d):
 _CK = f"coalesce(nullif({o.norm('chunk_id')}, ''), {o.norm('candidate_id')})"
 
 
-@query(f"""with {o.EFFECTIVE}, k as (select *, {_CK} as ck from e where estatus = 'accept'), fst as (select ck, min(candidate_id) as fc, count(*) as n from k group by ck)
-select fst.ck as chunk_id, {o.norm('paper_id')} as paper_id, cast(n as bigint) as n_items, {o.SPLIT} as split, k.ch as chunk_text from fst join k on k.candidate_id = fst.fc""")
+_ITEM = {
+    "claims": "'id', ident, 'section', section, 'text', txt", "methods": "'id', ident, 'name', txt, 'section', section", "experiments": "'id', ident, 'section', section, 'summary', txt",
+    "limitations": "'id', ident, 'section', section, 'text', txt", "concepts": "'id', ident, 'name', txt, 'section', section",
+    "relations": "'id', ident, 'section', section, 'source_id', src, 'source_text', txt, 'target_id', tgt, 'type', coalesce(nullif(rtype, ''), 'related-to')",
+}
+_LISTS = ", ".join(f"'{b}', coalesce(to_json(list(json_object('evidence_span', evid, {_ITEM[b]}) order by candidate_id) filter (where bk = '{b}')), json('[]'))" for b in sorted(_ITEM))
+
+
+@query(f"""with {o.EFFECTIVE}, k as (select *, {_CK} as ck, coalesce(nullif(ecb, ''), {o.norm('b0')}) as bk, coalesce(nullif(label_id, ''), {o.norm('candidate_id')}) as ident, coalesce(nullif({o.norm('ect')}, ''), lab) as txt, coalesce(nullif({o.norm('ece')}, ''), ev) as evid
+  from (select e.*, c.label_bucket as b0, {o.norm('c.title')} as title from e join c on c.candidate_id = e.candidate_id) where estatus = 'accept'),
+fst as (select ck, min(candidate_id) as fc, count(*) as n, json_object({_LISTS}) as graph from k group by ck)
+select fst.ck as chunk_id, {o.norm('paper_id')} as paper_id, cast(n as bigint) as n_items, {o.SPLIT} as split, cast(json_object('chunk_text', k.ch, 'paper_id', {o.norm('paper_id')}, 'section', section, 'title', title) as varchar) as asked, cast(graph as varchar) as told
+from fst join k on k.candidate_id = fst.fc""")
 def extractor_sft(spark, d):
-    x = sft.extractor_examples(merged(spark, d))
-    return x.select("chunk_id", "paper_id", "n_items", "split", F.get_json_object(F.col("messages")[1]["content"], "$.chunk_text").alias("chunk_text"))
+    m = F.col("messages")
+    return sft.extractor_examples(merged(spark, d)).select("chunk_id", "paper_id", "n_items", "split", m[1]["content"].alias("asked"), m[2]["content"].alias("told"))
 
 
-@query(f"with {o.EFFECTIVE} select candidate_id, {o.norm('paper_id')} as paper_id, {o.SPLIT} as split, estatus as verdict, lab as label_text, case when estatus = 'edit' then ect end as corrected_text from e")
+@query(f"""with {o.EFFECTIVE} select candidate_id, {o.norm('paper_id')} as paper_id, {o.SPLIT} as split, estatus as verdict,
+cast(json_object('candidate', json_object('evidence_span', ev, 'label_bucket', (select {o.norm('label_bucket')} from c where c.candidate_id = e.candidate_id), 'label_text', lab, 'relation_type', rtype, 'source_id', src, 'target_id', tgt), 'chunk_text', ch) as varchar) as asked,
+cast(json_object('corrected_candidate', case when estatus = 'edit' then json_object('evidence_span', ece, 'label_bucket', ecb, 'label_text', ect) end, 'reason_codes', to_json(string_split(ereasons, ',')), 'verdict', estatus) as varchar) as told from e""")
 def judge_sft(spark, d):
-    j = sft.judge_examples(merged(spark, d))
     m = F.col("messages")
-    return j.select("candidate_id", "paper_id", "split", "verdict", F.get_json_object(m[1]["content"], "$.candidate.label_text").alias("label_text"), F.get_json_object(m[2]["content"], "$.corrected_candidate.label_text").alias("corrected_text"))
+    return sft.judge_examples(merged(spark, d)).select("candidate_id", "paper_id", "split", "verdict", m[1]["content"].alias("asked"), m[2]["content"].alias("told"))
 
 
 @query(f"with {o.EFFECTIVE}, z as (select {o.SPLIT} as split, estatus as verdict from e) select split, verdict, count(*) as n from z group by split, verdict")
@@ -544,6 +588,11 @@ def json_payload_eval(spark, d):
     return sft.validity(t(spark, d, "events").select(F.col("event_id").cast("string").alias("chunk_id"), text.alias("text"))).select("chunk_id", "json_valid", "schema_ok")
 
 
+@query("""select count(*) as total, count(*) filter (where props is not null and event_id % 5 in (0, 1) or event_id % 5 = 2) as json_valid, count(*) filter (where event_id % 5 = 2) as schema_ok from events""")
+def json_payload_summary(spark, d):
+    return sft.validity_summary(json_payload_eval(spark, d))
+
+
 _PN = f"lower({o.norm('label_text')})"
 
 
@@ -565,9 +614,9 @@ def evidence_hallucination(spark, d):
 
 def _folder(spark: SparkSession) -> str:
     """A new folder within the one that all executors share."""
-    base = Path("/" + shared_folder(spark).removeprefix("file:").lstrip("/"))
-    base.mkdir(parents=True, exist_ok=True)
-    return tempfile.mkdtemp(dir=base)
+    folder = Path("/" + new_folder(spark, "files").removeprefix("file:").lstrip("/"))
+    folder.mkdir(parents=True)
+    return str(folder)
 
 
 def _write_files(rows: DataFrame, folder: str | Path) -> None:
@@ -589,7 +638,10 @@ def _document_files(spark: SparkSession, d: str, folder: str | Path) -> None:
     _write_files(docs(spark, d).select(F.concat("paper_id", suffix).alias("name"), "text"), folder)
 
 
-@query()
+_FILES = f"with {o.ITEMS} select cast(doc_id as varchar) as paper_id, item_id, text from it"
+
+
+@query(_FILES)
 def directory_ingest(spark, d):
     folder = Path(_folder(spark))
     _document_files(spark, d, folder)
@@ -598,7 +650,7 @@ def directory_ingest(spark, d):
     return extract.items(staged(parse.markdown_sections(dd))).select("paper_id", "item_id", "text")
 
 
-@query()
+@query(_FILES)
 def stream_items(spark, d):
     folder = Path(_folder(spark))
     (folder / "in").mkdir()
@@ -607,14 +659,17 @@ def stream_items(spark, d):
     return spark.read.parquet(f"{folder}/out").select("paper_id", "item_id", "text")
 
 
-@query()
+@query(f"with {o.ONE} select candidate_id, label_text from c")
 def jsonl_roundtrip(spark, d):
     folder = _folder(spark)
     sinks.write_json_lines(candidates(spark, d).select("candidate_id", "label_text"), f"{folder}/x")
     return readers.json_lines(spark, f"{folder}/x/*.json", "candidate_id string, label_text string").select("candidate_id", "label_text")
 
 
-@query()
+_BACK = ", ".join(f"nullif({x}, '') as {y}" for x, y in zip(["cast(it.doc_id as varchar)", "tit.title", "item_type", "item_id", "text", "section", "''", "evidence_span", "cast(confidence as varchar)"], sinks.MATRIX))
+
+
+@query(f"with {o.ITEMS} select {_BACK} from it join tit on tit.doc_id = it.doc_id")
 def csv_roundtrip(spark, d):
     folder = _folder(spark)
     sinks.write_evidence_matrix(report.evidence_matrix(parse.document_titles(docs(spark, d)), items(spark, d)), f"{folder}/m")
