@@ -95,7 +95,7 @@ NODES = f"""{ITEMS},
 nodes as (select cast(doc_id as varchar) as id, title as label, 'Paper' as type, cast(doc_id as varchar) as paper_id, '' as section, '' as evidence_span, cast(null as double) as confidence, doc_id, 0 as ord from tit
   union all select item_id, text, item_type, cast(doc_id as varchar), section, evidence_span, confidence, doc_id, ord from it)"""
 CONCEPTS = f"""{ITEMS},
-cit as (select doc_id, item_type, item_id, ord, section, evidence_span, case when item_type = 'Concept' then lower(split_part(text, ' ', 2)) else lower(text) end as text from it),
+cit as (select doc_id, item_type, item_id, ord, section, evidence_span, lower(text) as text from it),
 rel as (select m.doc_id, m.item_id as source, c.item_id as target, 'uses' as type, m.section, m.evidence_span, cast(0.6 as double) as confidence
   from cit m join cit c on m.doc_id = c.doc_id where m.item_type = 'Method' and c.item_type = 'Concept' and (contains(m.text, c.text) or contains(lower(m.evidence_span), c.text)))"""
 EDGES = f"""{CONCEPTS},

@@ -80,7 +80,7 @@ def test_whole_concepts_are_matched(spark, tmp_path):
 
     text = "# T\n## Methods\n- Method: a graph of Red Oak\n- Method: rings\n- Concept: red oak\n- Concept: blue oak\n- Concept: oak rings\n"
     spark.createDataFrame([(1, text), (2, "# U\n- Method: blue oak\n")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {k: [(r.source, r.target) for r in QUERIES[f"{k}_whole"](spark, str(tmp_path)).collect()] for k in ("method_concept_relations", "graph_edges", "dangling_edges")}
+    got = {k: [(r.source, r.target) for r in QUERIES[k](spark, str(tmp_path)).collect()] for k in ("method_concept_relations", "graph_edges", "dangling_edges")}
     assert got["method_concept_relations"] == [("1:method:1", "1:concept:1")]
     assert sorted(got["graph_edges"]) == [("1", "1:method:1"), ("1", "1:method:2"), ("1:method:1", "1:concept:1"), ("2", "2:method:1")]
     assert sorted(got["dangling_edges"]) == sorted(got["graph_edges"])
@@ -208,9 +208,9 @@ def test_claims_reach_every_sentence_of_their_paper(spark, tmp_path):
     c = spark.createDataFrame([("c1", "scifact", "p", "supports", "Oak"), ("c2", "scifact", "p", None, "Elm"), ("c3", "scifact", "none", "supports", "Ash"), ("c4", "scifact", "q", "supports", " ")], "candidate_id string, source_dataset string, paper_id string, relation_type string, label_text string")
     c.withColumn("ingested_at", F.current_timestamp()).write.parquet(f"{tmp_path}/candidates.parquet")
     spans = [("1", "a b"), ("1", "c d"), ("1", "e f"), ("1", "g"), ("2", "h"), ("3", "i j")]
-    got = sorted(tuple(r) for r in QUERIES["claim_evidence_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in QUERIES["claim_evidence_join"](spark, str(tmp_path)).collect())
     assert got == sorted((claim, doc, kind, x) for claim, kind in (("Oak", "supports"), ("Elm", "related_to")) for doc, x in spans)
-    assert {r.chunk_id for r in QUERIES["used_docs_all"](spark, str(tmp_path)).collect()} == {f"scifact:{i}:abstract" for i in (1, 2, 3)}
+    assert {r.chunk_id for r in QUERIES["used_docs"](spark, str(tmp_path)).collect()} == {f"scifact:{i}:abstract" for i in (1, 2, 3)}
 
 
 def test_locate(spark):
