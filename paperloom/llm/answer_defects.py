@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import folded, table
+from .common import folded, spread, table
 from .lookalikes import Transducer, transducer
 from .sketch import hashed_counts
 from .split_overlap import lcs
@@ -365,7 +365,7 @@ def flagged(pairs: DataFrame, profiles: Profiles) -> DataFrame:
             found = [(k, d) for k, d in zip(i, (defect(*x, p, forms) for x in zip(q, a, e))) if d]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([d for _, d in found], pa.string())], ["candidate_id", "defect"])
 
-    return pairs.select("candidate_id", "question", "label_text", "evidence_span").mapInArrow(run, "candidate_id string, defect string")
+    return spread(pairs.select("candidate_id", "question", "label_text", "evidence_span")).mapInArrow(run, "candidate_id string, defect string")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import spread  # noqa: F401
 from ..sources.staging import staged as materialize
 
 #: Stripes a group is cut into when an exact number of its rows is taken.

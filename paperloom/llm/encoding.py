@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 from .sketch import hashed_counts
 
 PAIR_BITS = 19
@@ -334,7 +334,7 @@ def restored(docs: DataFrame) -> DataFrame:
                     left.append(rest)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string()), pa.array(left, pa.bool_())], ["doc_id", "restored", "left_garbled"])
 
-    odd = docs.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    odd = spread(docs.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7f]")))
     return odd.mapInArrow(run, "doc_id long, restored string, left_garbled boolean")
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 
 # Letters of other scripts that look like Latin ones.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝүАВЕКМНОРСТУХІЈЅԌҮ", "aeopcyxijshdqwyABEKMHOPCTYXIJSGY", strict=True))
@@ -266,7 +266,7 @@ def rewrite(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with ``<column>_form`` beside each column: the one form where it differs from
     the text, else null. Only suspicious texts travel to Python."""
     keep = [c for c in df.columns if c not in columns]
-    sent = df.select(*keep, *[F.when(suspicious(F.col(c)), F.col(c)).alias(c) for c in columns])
+    sent = spread(df.select(*keep, *[F.when(suspicious(F.col(c)), F.col(c)).alias(c) for c in columns]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name in keep)
     schema += "".join(f", `{c}_form` string" for c in columns)
     compiled = df.sparkSession.sparkContext.broadcast(transducer())  # of fixed size

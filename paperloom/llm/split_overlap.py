@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alike, folded, materialize, table
+from .common import alike, folded, materialize, spread, table
 from .sketch import hashed_counts
 
 #: The sketch of rarity has eight counters for each different text, within these bounds
@@ -195,7 +195,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, train, text, split, source_dataset): chunks of any non-null split, and
     candidates whose chunk is in another split than train."""
     chunks = table(spark, sf_dir, "chunks").withColumn("split", folded(F.col("split"))).where("split is not null")
-    own = chunks.select(F.col("chunk_id").alias("key"), (F.col("split") == "train").alias("train"), "text", "split", "source_dataset")
+    own = spread(chunks).select(F.col("chunk_id").alias("key"), (F.col("split") == "train").alias("train"), "text", "split", "source_dataset")
     held = chunks.where("split <> 'train'").select(alike(F.col("chunk_id")).alias("ck"), "split").where("ck <> ''").distinct()
     of = (
         table(spark, sf_dir, "candidates")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Ranks of a byte-level vocabulary for many languages. The default of a parameter; only
 #: the driver reads the file, executors get its bytes (below 1 MB) with the job.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -39,6 +41,6 @@ def sized(docs: DataFrame, key: str, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in rb.column(rb.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(rb.column(rb.schema.get_field_index(c)) for c in keep), pa.array(n, pa.int64())], [*keep, "tokens"])
 
-    rows = docs.mapInArrow(run, schema).where(F.col(key).isNotNull())
+    rows = spread(docs).mapInArrow(run, schema).where(F.col(key).isNotNull())
     # a document delivered twice has one size
     return rows.groupBy(key).agg(*[F.min(c).alias(c) for c in [*keep, "tokens"] if c != key])
