@@ -135,7 +135,7 @@ class Transducer:
         if doubles:
             self.has_double["Latin"] = frozenset(self.to_script["Latin"].values())
         self.script_of = {n: re.compile(f"[{SCRIPTS[n]}]") for n in self.to_script}
-        self.tokens = self._tokens()
+        self.change, self.tokens = self._patterns()
         self.known: dict[str, str] = {}
         for s, t in rules.items():
             if not s or s == t:
@@ -149,17 +149,21 @@ class Transducer:
                 if self._script(t) != n or s in self.script_of and t in pairs:
                     raise ValueError(f"{t!r} is no {n} double of {s!r}")
 
-    def _tokens(self) -> re.Pattern:
-        """Runs of letters and digits with a character beyond ASCII, or with a source of a rule;
-        within the first plane a class is a bitmap lookup."""
-        marks = [c for c in map(chr, range(0x80, 0x10000)) if unicodedata.combining(c) or c in self.later]
-        own = {ord(c) for c in self.single} | {ord(c) for c in marks} | {ord(c) for c in self.later} | {cp for cp in range(0x80, 0x10000) if chr(cp).isalnum()}
-        odd, mark = _ranges(c for c in own if c < 0x10000) + "\U00010000-\U0010ffff", _ranges(map(ord, marks))
-        base = f"|[^A-Za-z0-9\\s](?=[{mark}])" if mark else ""
-        return re.compile(f"(?:[A-Za-z0-9]*{base})[{odd}][A-Za-z0-9{odd}]*")
+    def _patterns(self) -> tuple[re.Pattern, re.Pattern]:
+        """What any change needs: a source of a rule, a mark or later part, or a letter of a
+        script with doubles; and runs of letters and digits with a character beyond ASCII or
+        a source. Within the first plane a class is a bitmap lookup."""
+        marks = {cp for cp in range(0x80, 0x10000) if unicodedata.combining(chr(cp))} | {ord(c) for c in self.later}
+        sources = {ord(c) for c in self.single}
+        scripts = {cp for n in self.script_of if n != "Latin" for cp in range(0x80, 0x10000) if self.script_of[n].match(chr(cp))}
+        own = sources | marks | {cp for cp in range(0x80, 0x10000) if chr(cp).isalnum()}
+        odd, mark = _ranges(c for c in own if c < 0x10000) + "\U00010000-\U0010ffff", _ranges(marks)
+        base = f"|[^A-Za-z0-9\\s](?=[{mark}])" if marks else ""
+        change = _ranges(c for c in sources | marks | scripts if c < 0x10000)
+        return re.compile(f"[{change}\U00010000-\U0010ffff]"), re.compile(f"(?:[A-Za-z0-9]*{base})[{odd}][A-Za-z0-9{odd}]*")
 
     def apply(self, text: str) -> str:
-        return self.tokens.sub(self._known, text)
+        return self.tokens.sub(self._known, text) if self.change.search(text) else text
 
     def _known(self, found: re.Match) -> str:
         token = found.group()
