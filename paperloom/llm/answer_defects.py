@@ -17,7 +17,7 @@ Each pair gets at most one defect, the first that holds of
   word, or ends with a word that cannot end a clause.
 
 The profiles are fitted on ``PROFILE_TEXTS`` whole texts of each language at most, those
-with the smallest hash of their id; all else covers all rows.
+chosen by a hash of their id; all else covers all rows.
 
 A null answer is empty. A null or empty question has no echo and no language. A null
 passage tells nothing of a break. Whole texts are compared. Candidates delivered twice
@@ -214,9 +214,15 @@ def learned(documents: DataFrame) -> Profiles:
     languages = sorted(k for k, v in n.items() if v * RARE_LABEL >= sum(n.values()))
     if not languages:
         return Profiles([], [])
-    # Rank limits let each task drop what can't be among the first before texts meet.
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labelled.where(F.col("lang").isin(languages)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= PROFILE_TEXTS).select("lang", "text")
+    # Hashes are even, so twice the part that is wanted has it; only these texts are ranked, a
+    # number that doesn't grow with the table.
+    part = F.lit(0.0)
+    for k in languages:
+        part = F.when(F.col("lang") == k, 2 * PROFILE_TEXTS / n[k]).otherwise(part)
+    h = F.xxhash64("doc_id")
+    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    near = labelled.withColumn("h", h).where((F.shiftrightunsigned("h", 11) * 2.0**-53 < part) & F.col("doc_id").isNotNull())
+    picked = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= PROFILE_TEXTS).select("lang", "text")
     number = {k: i for i, k in enumerate(languages)}
 
     def slots(rb: pa.RecordBatch) -> list[np.ndarray]:
