@@ -116,6 +116,7 @@ class PairModel:
         self.chars = chars
         self.known = frozenset(map(chr, np.flatnonzero(chars).tolist())).issuperset
         self.runs: dict[tuple[str, str, str], str | None] = {}
+        self.lossy: dict[tuple[str, str, str], bool] = {}
         self.bits_of: dict[str, float] = {}
 
     def mended(self, left: str, run: str, right: str) -> str | None:
@@ -135,6 +136,15 @@ class PairModel:
             self.runs[key] = out
         return out
 
+    def lost(self, left: str, run: str, right: str) -> bool:
+        key = (left, run, right)
+        out = self.lossy.get(key)
+        if out is None:
+            out = lost(run, left, right, self)
+            if len(run) <= 24 and len(self.lossy) < 1 << 17:
+                self.lossy[key] = out
+        return out
+
     def scores(self, cp: np.ndarray) -> np.ndarray:
         n12 = self.pairs[pair_slots(cp)] + 0.25
         c = np.minimum(cp, (1 << CHAR_BITS) - 1)
@@ -225,7 +235,11 @@ def lost(run: str, left: str, right: str, model: PairModel) -> bool:
             short = (3 if begin[0] < 0xF0 else 4) - len(begin)
             if short > 1:
                 continue
-            limit = model.cost(a + found.group() + b) - 10
+            around = a + found.group() + b
+            now = model.cost(around)
+            if now <= FLUENT * (len(around) - 1):  # reads as usual text
+                continue
+            limit = now - 10
             for last in range(0x80, 0xC0):
                 made = (begin + bytes([last])).decode("utf-8", "ignore")
                 if made and model.known(made) and model.cost(a + made + b) < limit:
@@ -298,7 +312,7 @@ def restore(text: str, model: PairModel) -> tuple[str, bool, bool]:
             if made is not None:
                 parts += [text[at:lo], made]
                 at = hi
-            left = left or lost(run if made is None else made, a, b, model)
+            left = left or model.lost(a, run if made is None else made, b)
         garbled = garbled or left or bool(parts)
         if not parts:
             return text, garbled, left
