@@ -98,11 +98,12 @@ def _long_part(docs: DataFrame, budgets: dict[str, int]) -> tuple[DataFrame | No
     and their sums. A source's order is summed over ranges, never in one task."""
     if not any(budgets.values()):
         return None, {}
-    limit = docs.sparkSession.createDataFrame(list(budgets.items()), "source string, most long")
-    rows = docs.where(F.col("tokens") > LONG).join(F.broadcast(limit), "source")  # one row for each target
+    rows = docs.where((F.col("tokens") > LONG) & F.col("source").isin([k for k, v in budgets.items() if v]))
     placed = running_total(rows.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id")), ["source", "h", "doc_id"], "tokens", "start")
-    first = placed.groupBy("source").agg(F.min("start").alias("base"))
-    got = materialize(placed.join(F.broadcast(first), "source").where(F.col("start") - F.col("base") + F.col("tokens") <= F.col("most")).select("doc_id", "source", "tokens"))
+    room = F.lit(0)  # to the end of each source's budget
+    for r in placed.groupBy("source").agg(F.min("start")).collect():  # a row for each target
+        room = F.when(F.col("source") == r[0], r[1] + budgets[r[0]]).otherwise(room)
+    got = materialize(placed.where(F.col("start") + F.col("tokens") <= room).select("doc_id", "source", "tokens"))
     return got, {r[0]: r[1] for r in got.groupBy("source").agg(F.sum("tokens")).collect()}
 
 
