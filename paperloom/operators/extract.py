@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines, strip
+from ..sources.staging import staged
 
 # Markers with their id prefix and item type.
 MARKERS = {
@@ -91,8 +92,9 @@ def fallback_items(sections: DataFrame, marked: DataFrame) -> DataFrame:
     )
 
 
-def items(sections: DataFrame) -> DataFrame:
-    marked = marked_items(sections)
+def items(sections: DataFrame, stage: bool = False) -> DataFrame:
+    """Marked and fallback items. ``stage`` writes the marked ones, which are read twice."""
+    marked = staged(marked_items(sections)) if stage else marked_items(sections)
     return marked.unionByName(fallback_items(sections, marked))
 
 

@@ -41,9 +41,11 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
     return parse.markdown_sections(docs(spark, d))
 
 
-def items(spark: SparkSession, d: str) -> DataFrame:
-    """Sections are parsed once, though the items read them more than once."""
-    return extract.items(staged(sections(spark, d)))
+def items(spark: SparkSession, d: str, again: bool = False) -> DataFrame:
+    """Sections are parsed once, though the items read them more than once; ``again``: so are
+    the items."""
+    made = extract.items(staged(sections(spark, d)), stage=True)
+    return staged(made) if again else made
 
 
 def candidates(spark: SparkSession, d: str, *names: str) -> DataFrame:
@@ -102,24 +104,24 @@ def graph_nodes(spark, d):
 
 @query(f"with {o.NODES} select id, cast(2 as bigint) as n from nodes where type = 'Claim'")
 def duplicate_nodes(spark, d):
-    n = graph.nodes(parse.document_titles(docs(spark, d)), items(spark, d))
+    n = graph.nodes(parse.document_titles(docs(spark, d)), items(spark, d, again=True))
     return graph.duplicate_nodes(n.unionByName(n.where("type = 'Claim'")))
 
 
 @query(f"with {o.CONCEPTS} select source, target, type, section, evidence_span, confidence from rel")
 def method_concept_relations(spark, d):
-    return extract.method_concept_relations(items(spark, d)).select("source", "target", "type", "section", "evidence_span", "confidence")
+    return extract.method_concept_relations(items(spark, d, again=True)).select("source", "target", "type", "section", "evidence_span", "confidence")
 
 
 @query(f"with {o.EDGES} select source, target, type, paper_id, section, evidence_span, confidence from edges")
 def graph_edges(spark, d):
-    it = items(spark, d)
+    it = items(spark, d, again=True)
     return graph.edges(it, extract.method_concept_relations(it)).select("source", "target", "type", "paper_id", "section", "evidence_span", "confidence")
 
 
 @query(f"with {o.EDGES} select source, target, target as missing from edges where type = 'paper_uses_method' union all select source, target, source from edges where type = 'uses'")
 def dangling_edges(spark, d):
-    it = items(spark, d)
+    it = items(spark, d, again=True)
     n = graph.nodes(parse.document_titles(docs(spark, d)), it).where("type <> 'Method'")
     return graph.dangling_edges(graph.edges(it, extract.method_concept_relations(it)), n)
 
@@ -590,7 +592,7 @@ def directory_ingest(spark, d):
     _document_files(spark, d, folder)
     (folder / "skip.csv").write_text("# no paper\n- Claim: none\n", encoding="utf-8")
     dd = readers.text_documents(spark, str(folder))
-    return extract.items(staged(parse.markdown_sections(dd))).select("paper_id", "item_id", "text")
+    return extract.items(staged(parse.markdown_sections(dd)), stage=True).select("paper_id", "item_id", "text")
 
 
 @query(_FILES)
