@@ -158,7 +158,8 @@ class Transducer:
         scripts = {cp for n in self.script_of if n != "Latin" for cp in range(0x80, 0x10000) if self.script_of[n].match(chr(cp))}
         own = sources | marks | {cp for cp in range(0x80, 0x10000) if chr(cp).isalnum()}
         odd, mark = _ranges(c for c in own if c < 0x10000) + "\U00010000-\U0010ffff", _ranges(marks)
-        base = f"|[^A-Za-z0-9\\s](?=[{mark}])" if marks else ""
+        unseen = _ranges(ord(c) for c, t in self.single.items() if not t)
+        base = f"|[^A-Za-z0-9\\s](?={f'[{unseen}]*' if unseen else ''}[{mark}])" if marks else ""
         change = _ranges(c for c in sources | marks | scripts if c < 0x10000)
         return re.compile(f"[{change}\U00010000-\U0010ffff]"), re.compile(f"(?:[A-Za-z0-9]*{base})[{odd}][A-Za-z0-9{odd}]*")
 
@@ -248,7 +249,7 @@ def _ranges(points: Iterable[int]) -> str:
             parts[-1][1] = cp
         else:
             parts.append([cp, cp])
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in parts)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in parts)
 
 
 @cache
