@@ -158,7 +158,7 @@ def test_exhausted_source_is_made_up_by_all(spark, tmp_path):
         n = sum(per.values()) - sum(r[0] in first and r[1] == ds for r in rows)
         want |= dict.fromkeys(greedy(order(14, [r for r in rows if r[1] == ds and r[0] not in first]), n), "dataset")
     want |= dict.fromkeys(greedy(order(15, [r for r in rows if r[0] not in want]), total - len(want)), "global")
-    got = [(r.candidate_id, r.pick) for r in QUERIES["sample_backfill"](spark, str(tmp_path)).collect()]
+    got = [(r.candidate_id, r.pick) for r in QUERIES["stratified_sample"](spark, str(tmp_path)).collect()]
     assert len(got) == total and dict(got) == want and set(want.values()) == {"target", "dataset", "global"}
 
 
