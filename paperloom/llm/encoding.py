@@ -253,9 +253,11 @@ def _legacy(run: str, left: str, right: str, model: PairModel) -> str | None:
     if not odd:
         return None
     whole = left + run + right
-    now = model.cost(whole)
-    if now <= FLUENT * (len(whole) - 1):
+    pairs = [whole[k : k + 2] for k in range(len(whole) - 1)]
+    pairs = [x for x in pairs if not x.isascii()]
+    if sum(map(model.cost, pairs)) <= FLUENT * len(pairs):
         return None
+    now = model.cost(whole)
     best, out = now - max(10.0, 0.12 * now), None
     for wrong in WRONG:
         raw = to_bytes(run, wrong)
