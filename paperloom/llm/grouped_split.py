@@ -3,7 +3,8 @@
 Components by random-mate contraction: each round every vertex draws a coin from
 a hash; each tail with a head among its neighbours joins one of them; edges are
 rewritten, loops and repeats dropped, until none is left. The joins of all rounds are
-then unwound, last round first. Every round is written to the shared folder.
+then unwound together: every label is replaced by its own label, as often as doubling
+takes to pass all rounds. Every round is written to the shared folder.
 
 A candidate's vertex is its paper; without one, the first paper of its chunk; without
 that the chunk, else the candidate itself. Chunks tie their papers as stars around the
@@ -28,7 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
     """edges(u STRING, v STRING): (vertex, root) of every vertex with an edge to another."""
     edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     joined: list[DataFrame] = []
-    roots = None
     for turn in range(MOST_ROUNDS):
         if edges.isEmpty():
             break
@@ -45,13 +45,14 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     if not joined:
         return spark.createDataFrame([], "vertex string, root string")
-    for mate in reversed(joined):
-        if roots is None:
-            roots = mate.toDF("vertex", "root")
-            continue
-        later = roots.toDF("to", "final")
-        here = mate.join(later, "to", "left").select(F.col("u").alias("vertex"), F.coalesce("final", "to").alias("root"))
-        roots = materialize(here.unionByName(roots))
+    # Each vertex was joined to one once; unwinding halves the way to the last of them.
+    mates = joined[0]
+    for mate in joined[1:]:
+        mates = mates.unionByName(mate)
+    roots = mates.toDF("vertex", "root")
+    for _ in range(len(joined).bit_length()):
+        above = roots.toDF("root", "above")
+        roots = materialize(roots.join(above, "root", "left").select("vertex", F.coalesce("above", "root").alias("root")))
     tops = roots.select("root").distinct()
     return roots.unionByName(tops.select(F.col("root").alias("vertex"), "root"))
 
