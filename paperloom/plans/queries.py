@@ -307,7 +307,7 @@ def mention_resolution(spark, d):
 @query(f"""with w as (select doc_id, string_split({o.norm('text')}, ' ') as ws from documents), s as (select doc_id, ws, len(ws) as n, doc_id % 11 as st, doc_id % 11 + doc_id % 7 as en from w)
 select doc_id, case when st < n then array_to_string(list_slice(ws, st + 1, case when en <= n then en else least(en + 1, n) end), ' ') else '' end as span from s""")
 def token_span_slice(spark, d):
-    w = t(spark, d, "documents").select("doc_id", F.split(norm(F.col("text")), " ").alias("ws"))
+    w = spread(t(spark, d, "documents")).select("doc_id", F.split(norm(F.col("text")), " ").alias("ws"))
     st = (F.col("doc_id") % 11).cast("int")
     return w.select("doc_id", seeds.span_text(F.col("ws"), st, st + (F.col("doc_id") % 7).cast("int")).alias("span"))
 
@@ -408,7 +408,7 @@ def candidates_dedup(spark, d):
 select doc_id, case when n <= k then array_to_string(ws, ' ') else (select string_agg(ws[cast(round_even(cast(j * (n - 1) as double) / (k - 1), 0) as bigint) + 1], ' ' order by j) from unnest(range(k)) as u(j)) end as picked from n""")
 def representative_labels(spark, d):
     ws = F.split(norm(F.col("text")), " ")
-    return t(spark, d, "documents").select("doc_id", F.array_join(sampling.representative(ws, (F.col("doc_id") % 4 + 2).cast("int")), " ").alias("picked"))
+    return spread(t(spark, d, "documents")).select("doc_id", F.array_join(sampling.representative(ws, (F.col("doc_id") % 4 + 2).cast("int")), " ").alias("picked"))
 
 
 _FLAT = o.TARGETS
