@@ -264,7 +264,7 @@ def consistent(text: str) -> str:
 
 def suspicious(col: Column) -> Column:
     """True for every text that :func:`consistent` may change; cheap, in the JVM."""
-    return col.rlike(r"[^\x00-\x7f]|[\x00-\x08\x0e-\x1b\x7f]")
+    return col.rlike(r"[^\x09-\x0d\x1c-\x7e]")
 
 
 def rewrite(df: DataFrame, columns: list[str]) -> DataFrame:
