@@ -141,6 +141,28 @@ def test_overlaps_are_those_of_brute_force(spark):
     assert rows(split_overlap.split_overlap(spark.createDataFrame(data, "key string, train boolean, text string"))) == want
 
 
+def test_overlaps_of_texts_of_frequent_shingles(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(6)]
+    base = [[rng.choice(words) for _ in range(rng.choice([3, 5, 7, 8, 13, 16, 30, 32, 33, 62, 65, 130]))] for _ in range(40)]
+    data = []
+    for i in range(300):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, len(w) // 5)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+        data.append((f"k{i}", rng.random() < 0.6, " ".join(w)))
+    split = lambda train: [(k, w.upper().split()) for k, t, w in data if t == train and w]
+    want = {(k, k2) for k, x in split(True) for k2, y in split(False) if 5 * lcs(x, y) >= 4 * max(len(x), len(y))}
+    lengths = {k: len(w.split()) for k, _, w in data}
+    assert {lengths[k].bit_length() - lengths[k2].bit_length() for k, k2 in want} == {-1, 0, 1}
+    df = spark.createDataFrame(data, "key string, train boolean, text string")
+    monkeypatch.setattr(split_overlap, "WHOLE", 0)  # ranges of lengths one after the other
+    for few in (0, 5):  # no shingle is rare, or some are
+        monkeypatch.setattr(split_overlap, "FEW", few)
+        assert rows(split_overlap.split_overlap(df)) == want
+
+
 def test_components_are_those_of_union_find(spark):
     rng = random.Random(4)
     edges = [(f"v{rng.randrange(60)}", f"v{rng.randrange(60)}") for _ in range(45)]

@@ -4,15 +4,18 @@ import itertools
 import random
 import time
 import unicodedata
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from paperloom.llm import answer_defects as ad
-from paperloom.llm import containers, encoding, lookalikes, mixture, pieces
-from paperloom.llm.split_overlap import lcs, least_shared
+from paperloom.llm import containers, encoding, lookalikes, mixture, pieces, split_overlap
+from paperloom.llm.split_overlap import ALONE, _scheme, lcs, least_shared
 
 
 def plain_lcs(a, b):
@@ -338,3 +341,24 @@ def test_without_profiles_scripts_tell():
     none = ad.Profiles([], [])
     assert defect("Which set is used?", "Модель использует новые данные.", None, none) == "other_language"
     assert defect("Which set is used?", "Les modèles sont comparés.", None, none) is None
+
+
+def test_scheme_of_both_lengths_of_a_pair():
+    for a in range(ALONE, 700):
+        for b in range(-(-4 * a // 5), a + 1):
+            shared = 3 * -(-4 * a // 5) - a - b - 1
+            (k, groups, t, need), other = _scheme(a, 0), _scheme(b, a.bit_length() - b.bit_length())
+            assert other[:2] == (k, groups) and other[3] == need
+            assert groups >= 1 and need >= 1 and groups + need <= min(t, other[2]) and max(t, other[2]) <= shared
+
+
+def test_texts_of_one_language_seldom_meet():
+    """Met on single shingles, 300 and 300 unlike texts from 100 words made 27,430 pairs."""
+    rng = np.random.default_rng(7)
+    met = []
+    for train in (True, False):
+        texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 100, rng.integers(60, 90))) for _ in range(300)]
+        rb = pa.RecordBatch.from_pydict({"no": range(300), "words": texts, "train": [train] * 300, "held": [not train] * 300})
+        out = split_overlap._prefixes(SimpleNamespace(value=np.full(1 << 12, 1000, np.float32)))(iter([rb]))
+        met.append(Counter(k for b in out for k in b.column("meet").to_pylist()))
+    assert sum(c * met[1][k] for k, c in met[0].items()) < 2000
