@@ -20,6 +20,8 @@ QUESTION_CUES = {
     "limitations": ["limitation", "fail", "error", "weakness", "future work"],
 }
 LEAST_OVERLAP, LEAST_TOKENS = 0.65, 5
+#: Spans times chunks of a paper up to which every span simply meets every chunk.
+MEET_ALL = 100_000
 
 ANSWER = "struct<extractive_spans:array<string>,free_form_answer:string,yes_no:boolean,unanswerable:boolean,evidence:array<string>,highlighted_evidence:array<string>>"
 QA_PAPER = "struct<title:string,full_text:string,qas:string>"
@@ -65,27 +67,37 @@ def _grams(token: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(token) - n + 1, F.lit(1))), lambda i: F.substring(token, i, n))
 
 
+def _runs(ts: Column, n: int) -> Column:
+    """Each n tokens in a row that others surround, with the last character of the token
+    before and the first of the one after them."""
+    run = lambda i: F.concat_ws(" ", F.right(F.element_at(ts, i - 1), F.lit(1)), F.array_join(F.slice(ts, i, n), " "), F.left(F.element_at(ts, i + n), F.lit(1)))
+    return F.array_distinct(F.when(F.size(ts) > n + 1, F.transform(F.sequence(F.lit(2), F.size(ts) - n), run)).otherwise(F.array().cast("array<string>")))
+
+
 def _exact(ev: DataFrame, ch: DataFrame) -> DataFrame:
     """(ev_id, chunk_id) of the first chunk of the paper that holds the needle.
 
     Equal needles of a paper are sought once. A token inside the needle, neither its
-    first nor its last, is a whole token of any text that holds it. So a needle meets only
-    chunks with its rarest inner token, and a paper with a third of all rows is spread
-    over its tokens. Needles of two tokens or fewer have no inner one: the longer of
+    first nor its last, is a whole token of any text that holds it, and so are the
+    characters next to it. So a needle meets only chunks with the rarest of its runs of three
+    inner tokens, or of one if it has no more than two, and a paper with a third of all rows
+    is spread over its runs. Needles of two tokens or fewer have no inner one: the longer of
     theirs is part of a token of the text, which is sought among the paper's different
     tokens by its rarest piece of three characters (of fewer, if it is shorter). Needles
     without any token meet all chunks of their paper.
     """
     needles = ev.select("paper_id", "needle").distinct().withColumn("ts", _unicode_tokens(F.col("needle")))
-    index = staged(ch.select("paper_id", "chunk_id", F.explode(F.array_distinct(_unicode_tokens(F.col("hay")))).alias("token")))  # read three times
-    inner = needles.where(F.size("ts") > 2).select("paper_id", "needle", F.explode(F.array_distinct(F.slice("ts", 2, F.greatest(F.size("ts") - 2, F.lit(0))))).alias("token"))
+    ts = F.col("ts")
+    keys = F.concat(F.array_distinct(ts), _runs(ts, 1), _runs(ts, 3))  # only runs have blanks
+    index = staged(ch.select("paper_id", "chunk_id", _unicode_tokens(F.col("hay")).alias("ts")).select("paper_id", "chunk_id", F.explode(keys).alias("token")))  # read three times
+    inner = needles.where(F.size("ts") > 2).select("paper_id", "needle", F.explode(F.when(F.size("ts") > 4, _runs(ts, 3)).otherwise(_runs(ts, 1))).alias("token"))
     spread = index.groupBy("paper_id", "token").agg(F.count("*").alias("n"))
     rarest = inner.join(spread, ["paper_id", "token"], "left").groupBy("paper_id", "needle").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     part = needles.where(F.size("ts").isin(1, 2)).select("paper_id", "needle", F.array_max(F.transform("ts", lambda x: F.struct(F.length(x).alias("n"), x.alias("token"))))["token"].alias("piece"))
     pieces = part.withColumn("k", F.least(F.length("piece"), F.lit(3)))
     grams = pieces.select("paper_id", "piece", "k").distinct().withColumn("gram", F.explode(F.array_distinct(_grams(F.col("piece"), F.col("k")))))
     sizes = pieces.groupBy("paper_id").agg(F.collect_set("k").alias("ks"))  # three at most
-    vocabulary = spread.join(sizes, "paper_id").select("paper_id", "token", F.explode(F.array_distinct(F.flatten(F.transform("ks", lambda k: _grams(F.col("token"), k))))).alias("gram"))
+    vocabulary = spread.where(~F.col("token").contains(" ")).join(sizes, "paper_id").select("paper_id", "token", F.explode(F.array_distinct(F.flatten(F.transform("ks", lambda k: _grams(F.col("token"), k))))).alias("gram"))
     common = vocabulary.groupBy("paper_id", "gram").agg(F.count("*").alias("n"))
     rare = grams.join(common, ["paper_id", "gram"]).groupBy("paper_id", "piece").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     holding = rare.join(vocabulary, ["paper_id", "gram"]).where(F.col("token").contains(F.col("piece"))).select("paper_id", "piece", "token")
@@ -99,6 +111,24 @@ def _exact(ev: DataFrame, ch: DataFrame) -> DataFrame:
     return ev.join(first, ["paper_id", "needle"]).select("ev_id", "chunk_id")
 
 
+def _most(chunk: str) -> Column:
+    """Of an aggregate: the first chunk with the greatest overlap."""
+    return F.min_by(F.struct(chunk, "overlap"), F.struct(-F.col("overlap"), "chunk_ord"))
+
+
+def _exact_in_small(ev: DataFrame, ch: DataFrame) -> DataFrame:
+    """As _exact, of papers whose spans can meet all of their chunks."""
+    hits = ev.join(ch, "paper_id").where(F.col("hay").contains(F.col("needle")))
+    return hits.groupBy("ev_id").agg(F.min_by("chunk_id", "chunk_ord").alias("chunk_id"))
+
+
+def _overlapping_in_small(rest: DataFrame, ch: DataFrame) -> DataFrame:
+    """As _overlapping, of papers whose spans can meet all of their chunks."""
+    words = ch.select("paper_id", "chunk_id", "chunk_ord", tokens(F.col("hay")).alias("ht"))
+    scored = rest.join(words, "paper_id").withColumn("overlap", F.size(F.array_intersect("t", "ht")) / F.size("t")).where(F.col("overlap") >= LEAST_OVERLAP)
+    return scored.groupBy("ev_id").agg(_most("chunk_id").alias("b")).select("ev_id", "b.chunk_id", "b.overlap")
+
+
 def _overlapping(rest: DataFrame, ch: DataFrame) -> DataFrame:
     """rest(ev_id, paper_id, t: distinct tokens, n: their number): the first chunk with the
     greatest share of the tokens, if enough (ev_id, chunk_id, overlap).
@@ -116,25 +146,31 @@ def _overlapping(rest: DataFrame, ch: DataFrame) -> DataFrame:
     met = probe.join(index, ["paper_id", "token"]).select("one", "chunk_id").distinct()
     texts = ch.select("chunk_id", "chunk_ord", tokens(F.col("hay")).alias("ht"))
     scored = met.join(sought.select("one", "t"), "one").join(texts, "chunk_id").withColumn("overlap", F.size(F.array_intersect("t", "ht")) / F.size("t")).where(F.col("overlap") >= LEAST_OVERLAP)
-    best = scored.groupBy("one").agg(F.max_by(F.struct("chunk_id", "overlap"), F.struct("overlap", -F.col("chunk_ord"))).alias("b"))
+    best = scored.groupBy("one").agg(_most("chunk_id").alias("b"))
     found = sought.join(best, "one").select("paper_id", F.col("t").alias("st"), "b")
     return rest.select("ev_id", "paper_id", F.array_sort("t").alias("st")).join(found, ["paper_id", "st"]).select("ev_id", F.col("b.chunk_id").alias("chunk_id"), F.col("b.overlap").alias("overlap"))
 
 
 def locate(evidence: DataFrame, chunks: DataFrame, stage: bool = False) -> DataFrame:
-    """evidence(ev_id, paper_id, evidence_span), chunks(paper_id, chunk_id unique, chunk_ord,
-    chunk_text): the first chunk that holds the span, else of a span with five tokens or
-    more the first with the greatest token overlap, if at least 0.65.
-
-    Two phases: only spans without an exact hit are sought by overlap, and both meet
-    chunks on rare tokens only. ``stage`` writes the exact hits, which are read twice.
+    """evidence(ev_id, paper_id, evidence_span), chunks(paper_id, chunk_id unique, chunk_ord of
+    any ordered type, chunk_text): the first chunk that holds the span, else of a span with
+    five tokens or more the first with the greatest token overlap, if at least 0.65.
+
+    Two phases: only spans without an exact hit are sought by overlap. In a paper of at most
+    MEET_ALL pairs, all spans meet all chunks: no more than the root of that for each row,
+    and texts are dealt out by paper once. Larger papers, of which there are few, meet on rare
+    tokens only. ``stage`` writes the exact hits, which are read twice.
     """
     ev = evidence.select("ev_id", "paper_id", F.lower(norm(F.col("evidence_span"))).alias("needle")).where("needle <> ''")
     ch = chunks.select("paper_id", "chunk_id", "chunk_ord", F.lower("chunk_text").alias("hay"))
-    exact = staged(_exact(ev, ch)) if stage else _exact(ev, ch)
+    sizes = evidence.groupBy("paper_id").agg(F.count("*").alias("e")).join(chunks.groupBy("paper_id").agg(F.count("*").alias("c")), "paper_id")
+    large = staged(sizes.where(F.col("e") * F.col("c") > MEET_ALL).select("paper_id"))  # read for each phase and side
+    in_small, in_large = (lambda df: df.join(large, "paper_id", "left_anti")), (lambda df: df.join(large, "paper_id", "left_semi"))
+    exact = _exact_in_small(in_small(ev), in_small(ch)).unionByName(_exact(in_large(ev), in_large(ch)))
+    exact = staged(exact) if stage else exact
+    rest = ev.join(exact.select("ev_id"), "ev_id", "left_anti").withColumn("t", tokens(F.col("needle"))).where(F.size("t") >= LEAST_TOKENS).select("ev_id", "paper_id", "t")
+    best = _overlapping_in_small(in_small(rest), in_small(ch)).unionByName(_overlapping(in_large(rest), in_large(ch)))
     exact = exact.withColumn("match", F.lit("exact")).withColumn("overlap", F.lit(1.0))
-    rest = ev.join(exact.select("ev_id"), "ev_id", "left_anti").withColumn("t", tokens(F.col("needle"))).where(F.size("t") >= LEAST_TOKENS)
-    best = _overlapping(rest.select("ev_id", "paper_id", "t"), ch)
     return exact.unionByName(best.select("ev_id", "chunk_id", F.lit("overlap").alias("match"), "overlap"))
 
 

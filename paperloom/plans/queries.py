@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm, slug, stable_id
@@ -176,8 +176,8 @@ def qa_answers(spark, d):
 def _evidence(spark, d):
     c = candidates(spark, d, "source_dataset", "paper_id", "evidence_span").where("paper_id is not null")
     ev = staged(c.select(F.col("candidate_id").alias("ev_id"), F.concat_ws("/", "source_dataset", "paper_id").alias("paper_id"), "evidence_span"))
-    ch = spread(t(spark, d, "chunks")).groupBy("chunk_id").agg(F.min(F.concat_ws("/", "source_dataset", "paper_id")).alias("paper_id"), F.min("text").alias("chunk_text"))
-    return ev, ch.select("paper_id", "chunk_id", F.col("chunk_id").alias("chunk_ord"), "chunk_text")
+    ch = staged(t(spark, d, "chunks").groupBy("chunk_id").agg(F.min(F.concat_ws("/", "source_dataset", "paper_id")).alias("paper_id"), F.min("text").alias("chunk_text")))
+    return ev, ch.withColumn("chunk_ord", F.col("chunk_id"))
 
 
 _EV = f"""{o.ONE}, ev as (select candidate_id as ev_id, source_dataset || '/' || paper_id as p, lower({o.norm('evidence_span')}) as needle from c where paper_id is not null),
@@ -188,13 +188,7 @@ ex as (select ev_id, min(chunk_id) as chunk_id from ev join ch on ev.p = ch.p wh
 @query(f"with {_EV} select ev_id, chunk_id from ex")
 def evidence_exact_match(spark, d):
     ev, ch = _evidence(spark, d)
-    return locate_(ev, ch).where("match = 'exact'").select("ev_id", "chunk_id")
-
-
-def locate_(ev, ch):
-    """Ordinals of chunks by id, as numbers."""
-    order = ch.select("chunk_id", F.row_number().over(Window.partitionBy("paper_id").orderBy("chunk_id")).alias("n"))
-    return seeds.locate(ev, staged(ch.drop("chunk_ord").join(order, "chunk_id").withColumnRenamed("n", "chunk_ord")), stage=True)
+    return seeds.locate(ev, ch).where("match = 'exact'").select("ev_id", "chunk_id")
 
 
 @query(f"""with {_EV}, rest as (select ev.* from ev left join ex on ex.ev_id = ev.ev_id where ex.ev_id is null and needle <> ''),
@@ -205,7 +199,7 @@ rk as (select *, row_number() over (partition by ev_id order by k desc, chunk_id
 select ev_id, chunk_id, cast(k as double) / n as overlap from rk where r = 1""")
 def evidence_overlap_match(spark, d):
     ev, ch = _evidence(spark, d)
-    return locate_(ev, ch).where("match = 'overlap'").select("ev_id", "chunk_id", "overlap")
+    return seeds.locate(ev, ch, stage=True).where("match = 'overlap'").select("ev_id", "chunk_id", "overlap")
 
 
 @query(f"""with s as (select distinct section_id, source_dataset, paper_id, section_idx, title, text from sections), p as (select s.*, u.p as p, {o.norm('u.x')} as chunk_text from s, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) with ordinality as u(x, p))

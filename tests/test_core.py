@@ -350,6 +350,50 @@ def test_locate_is_that_of_brute_force(spark):
     assert {"exact", "overlap"} <= {w[2] for w in want}
 
 
+@pytest.mark.parametrize("most", [0, 30, 100_000])
+def test_locate_in_small_and_large_papers(spark, monkeypatch, most):
+    """One result, wherever the bound of small papers is; order of chunks by any type."""
+    import re
+
+    monkeypatch.setattr(seeds, "MEET_ALL", most)
+    rng = random.Random(most)
+    words = ["oak", "ïda", "나무", "red", "tree", "of", "the", "a", "3d", "x", "x\u0301y"]
+    chunks = [(p, f"{p}-{i}", rng.choice([" ", "  ", "-"]).join(rng.choice(words) for _ in range(rng.randint(0, 16)))) for p, n in (("p", 40), ("q", 3), ("r", 20)) for i in range(n)]
+    spans = ["", "나", "--", "absent", None, "d x", "A  tree of"]
+    for _, _, x in rng.choices([c for c in chunks if c[2]], k=120):
+        a, b = sorted(rng.choices(range(len(x) + 1), k=2))
+        spans += [x[a:b], " ".join(rng.sample(x.split(), len(x.split())))]
+    ev = [(i, rng.choice("ppprq"), s) for i, s in enumerate(spans)]
+    want = set()
+    for i, p, s in ev:
+        needle, own = " ".join((s or "").lower().split()), sorted(c for c in chunks if c[0] == p)
+        hold = [c for c in own if needle and needle in c[2].lower()]
+        t = set(re.findall("[a-z0-9]+", needle))
+        score = [(-len(t & set(re.findall("[a-z0-9]+", c[2].lower()))) / len(t), c[1]) for c in own] if len(t) >= 5 else []
+        if hold:
+            want.add((i, hold[0][1], "exact", 1.0))
+        elif score and min(score)[0] <= -0.65:
+            want.add((i, min(score)[1], "overlap", -min(score)[0]))
+    e = spark.createDataFrame(ev, "ev_id int, paper_id string, evidence_span string")
+    c = spark.createDataFrame(chunks, "paper_id string, chunk_id string, chunk_text string").withColumn("chunk_ord", F.col("chunk_id"))
+    assert {tuple(r) for r in seeds.locate(e, c).select("ev_id", "chunk_id", "match", "overlap").collect()} == want
+    assert len({w[2] for w in want}) == 2
+
+
+def test_locate_writes_no_tokens_of_small_papers(spark):
+    """Of papers with a few chunks each, nothing but the rows themselves is moved."""
+    from pathlib import Path
+
+    from paperloom.sources import staging
+
+    folder = lambda: sum(p.stat().st_size for p in Path(staging.shared_folder(spark).removeprefix("file:")).rglob("part-*.parquet"))
+    c = spark.range(3000).select(F.concat(F.lit("p"), F.floor(F.col("id") / 3)).alias("paper_id"), F.col("id").cast("string").alias("chunk_id"), F.col("id").alias("chunk_ord"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.substring(F.sha1(F.concat_ws(",", "id", i)), 1, 7)), " ").alias("chunk_text"))
+    e = c.select(F.col("chunk_id").alias("ev_id"), "paper_id", F.substring("chunk_text", 20, 60).alias("evidence_span"))
+    before = folder()
+    assert seeds.locate(e, c).where("match = 'exact' and ev_id = chunk_id").count() == 3000
+    assert folder() - before < 100_000
+
+
 def test_commands_of_the_pipeline(spark, tmp_path, capsys):
     """seed, sample, label (both harnesses), sft and eval-json, each on the files of the one before."""
     from paperloom import cli
