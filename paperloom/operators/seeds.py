@@ -20,6 +20,8 @@ QUESTION_CUES = {
     "limitations": ["limitation", "fail", "error", "weakness", "future work"],
 }
 LEAST_OVERLAP, LEAST_TOKENS = 0.65, 5
+#: Of a span's rarest tokens, as many as a chunk must share to be compared.
+SHARED = 3
 #: Spans times chunks of a paper up to which every span simply meets every chunk.
 MEET_ALL = 100_000
 
@@ -133,8 +135,8 @@ def _overlapping(rest: DataFrame, ch: DataFrame) -> DataFrame:
     """rest(ev_id, paper_id, t: distinct tokens, n: their number): the first chunk with the
     greatest share of the tokens, if enough (ev_id, chunk_id, overlap).
 
-    A chunk with k of n tokens has at least one of the n - k + 1 rarest, so only these are
-    joined; pairs that meet are counted on their whole token sets.
+    A chunk with k of n tokens has at least three of the n - k + 3 rarest, so only these are
+    joined; pairs that meet on three are counted on their whole token sets.
     """
     index = ch.select("paper_id", "chunk_id", F.explode(tokens(F.col("hay"))).alias("token"))
     common = index.groupBy("paper_id", "token").agg(F.count("*").alias("c"))
@@ -142,8 +144,8 @@ def _overlapping(rest: DataFrame, ch: DataFrame) -> DataFrame:
     sought = rest.groupBy("paper_id", F.array_sort("t").alias("t")).agg(F.min("ev_id").alias("one"))
     ranked = sought.select("paper_id", "one", F.size("t").alias("n"), F.explode("t").alias("token")).join(common, ["paper_id", "token"], "left")
     place = F.row_number().over(Window.partitionBy("paper_id", "one").orderBy(F.coalesce("c", F.lit(0)), "token"))
-    probe = ranked.withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * LEAST_OVERLAP) + 1) & F.col("c").isNotNull())
-    met = probe.join(index, ["paper_id", "token"]).select("one", "chunk_id").distinct()
+    probe = ranked.withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * LEAST_OVERLAP) + SHARED) & F.col("c").isNotNull())
+    met = probe.join(index, ["paper_id", "token"]).groupBy("one", "chunk_id").agg(F.count("*").alias("k")).where(F.col("k") >= SHARED).drop("k")
     texts = ch.select("chunk_id", "chunk_ord", tokens(F.col("hay")).alias("ht"))
     scored = met.join(sought.select("one", "t"), "one").join(texts, "chunk_id").withColumn("overlap", F.size(F.array_intersect("t", "ht")) / F.size("t")).where(F.col("overlap") >= LEAST_OVERLAP)
     best = scored.groupBy("one").agg(_most("chunk_id").alias("b"))
@@ -159,16 +161,17 @@ def locate(evidence: DataFrame, chunks: DataFrame, stage: bool = False) -> DataF
     Two phases: only spans without an exact hit are sought by overlap. In a paper of at most
     MEET_ALL pairs, all spans meet all chunks: no more than the root of that for each row,
     and texts are dealt out by paper once. Larger papers, of which there are few, meet on rare
-    tokens only. ``stage`` writes the exact hits, which are read twice.
+    tokens only. ``stage`` writes the exact hits and the spans without, which are read again.
     """
-    ev = evidence.select("ev_id", "paper_id", F.lower(norm(F.col("evidence_span"))).alias("needle")).where("needle <> ''")
+    ev = staged(evidence.select("ev_id", "paper_id", F.lower(norm(F.col("evidence_span"))).alias("needle")).where("needle <> ''"))
     ch = chunks.select("paper_id", "chunk_id", "chunk_ord", F.lower("chunk_text").alias("hay"))
-    sizes = evidence.groupBy("paper_id").agg(F.count("*").alias("e")).join(chunks.groupBy("paper_id").agg(F.count("*").alias("c")), "paper_id")
+    sizes = ev.groupBy("paper_id").agg(F.count("*").alias("e")).join(chunks.groupBy("paper_id").agg(F.count("*").alias("c")), "paper_id")
     large = staged(sizes.where(F.col("e") * F.col("c") > MEET_ALL).select("paper_id"))  # read for each phase and side
     in_small, in_large = (lambda df: df.join(large, "paper_id", "left_anti")), (lambda df: df.join(large, "paper_id", "left_semi"))
     exact = _exact_in_small(in_small(ev), in_small(ch)).unionByName(_exact(in_large(ev), in_large(ch)))
     exact = staged(exact) if stage else exact
     rest = ev.join(exact.select("ev_id"), "ev_id", "left_anti").withColumn("t", tokens(F.col("needle"))).where(F.size("t") >= LEAST_TOKENS).select("ev_id", "paper_id", "t")
+    rest = staged(rest) if stage else rest
     best = _overlapping_in_small(in_small(rest), in_small(ch)).unionByName(_overlapping(in_large(rest), in_large(ch)))
     exact = exact.withColumn("match", F.lit("exact")).withColumn("overlap", F.lit(1.0))
     return exact.unionByName(best.select("ev_id", "chunk_id", F.lit("overlap").alias("match"), "overlap"))
