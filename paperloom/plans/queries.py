@@ -571,6 +571,34 @@ def _write_files(rows: DataFrame, folder: str | Path) -> None:
     rows.select("name", "text").mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
 
 
+MAP_CHARS = 1 << 20  # of a file of several papers
+
+
+def _write_maps(members: DataFrame, folder: str) -> None:
+    """members(member): '"key":value' texts, joined to files of one JSON object each, of about
+    MAP_CHARS and written where the rows are. A task that runs again first deletes its files."""
+
+    def put(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for old in Path(folder).glob(f"{part}-*.json"):
+            old.unlink()
+        held, size, files = [], 0, 0
+        for pdf in batches:
+            for x in pdf["member"]:
+                held.append(x)
+                size += len(x)
+                if size >= MAP_CHARS:
+                    Path(folder, f"{part}-{files}.json").write_text("{" + ",".join(held) + "}", encoding="utf-8")
+                    held, size, files = [], 0, files + 1
+            yield pdf[["member"]].head(0)
+        if held:
+            Path(folder, f"{part}-{files}.json").write_text("{" + ",".join(held) + "}", encoding="utf-8")
+
+    members.select("member").mapInPandas(put, "member string").write.format("noop").mode("overwrite").save()
+
+
 def _document_files(spark: SparkSession, d: str, folder: str | Path) -> None:
     """Each document as a file named by its id, with suffixes of all kinds that are read."""
     suffix = F.element_at(F.array(*map(F.lit, (".md", ".TXT", ".txt"))), (F.pmod("doc_idx", F.lit(3)) + 1).cast("int"))
@@ -639,6 +667,6 @@ def _qa_papers(spark, d):
 def qa_corpus_records(spark, d):
     folder = _folder(spark)
     body = F.to_json(F.create_map("paper_id", F.struct("title", "full_text", "qas")))
-    _write_files(_qa_papers(spark, d).select(F.concat(F.sha1("paper_id"), F.lit(".json")).alias("name"), body.alias("text")), folder)
+    _write_maps(_qa_papers(spark, d).select(body.alias("body")).selectExpr("substring(body, 2, length(body) - 2) as member"), folder)
     papers = readers.by_split({"train": readers.json_map(spark, f"{folder}/", seeds.QA_PAPER).select("pos", F.col("key").alias("paper_id"), "value.*")})
     return seeds.question_corpus(papers)[1].select("id", "paper_id", "label_hint", "answer_text", "evidence_span", "chunk_id")

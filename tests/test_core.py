@@ -251,6 +251,23 @@ def test_questions_of_all_papers(spark, tmp_path):
     ]
 
 
+def test_papers_share_files(spark, tmp_path, monkeypatch):
+    """Files grow with the text of all papers, not with their number."""
+    from paperloom.plans import queries
+
+    texts = {str(i): f'a "{i}" \\ {{나무}}' for i in range(500)}
+    papers = spark.createDataFrame([(k, x) for k, x in texts.items()], "k string, x string").repartition(2)
+    members = papers.select(F.to_json(F.create_map("k", F.struct("x"))).alias("b")).selectExpr("substring(b, 2, length(b) - 2) as member")
+    for size, most in ((1 << 20, 2), (3000, 30)):
+        (folder := tmp_path / str(size)).mkdir()
+        monkeypatch.setattr(queries, "MAP_CHARS", size)
+        for _ in range(2):  # a task that runs again leaves nothing twice
+            queries._write_maps(members, str(folder))
+        assert len(list(folder.iterdir())) <= most
+        got = [(r.key, r.value.x) for r in readers.json_map(spark, f"{folder}/", "struct<x:string>").collect()]
+        assert sorted(got) == sorted(texts.items())
+
+
 def test_question_corpus_in_both_forms(spark, tmp_path):
     body = '{"p1":{"title":"T","full_text":[{"section_name":"Intro","paragraphs":["The graph method works well on five held out sets.",""]}],"qas":[{"question":"How does it work?","question_id":"q1","answers":[{"answer":{"extractive_spans":["graph method"],"evidence":["The graph method works well"]}}]}]},"p0":{"title":"U","full_text":{"section_name":["A"],"paragraphs":[["No limits."]]},"qas":{"question":["What fails?"],"question_id":["z"],"answers":[[{"answer":{"yes_no":false,"evidence":["No limits."]}}]]}}}'
     (tmp_path / "train.json").write_text(body)
